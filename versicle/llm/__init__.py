@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "simhash", "sketch", "toxicity", "urls")
+MODULES = ("packing", "simhash", "sketch", "toxicity", "decontaminate", "urls", "tokencounts")
 
 
 def queries() -> dict:
