@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,25 +17,55 @@ from ._util import id_text, raw_bytes, stage
 BLOCK_SEQUENCES = 64
 
 
+#: Signs that, after a letter or digit, are a pre-token of their own to the next blank.
+TAIL = ".,;:!?%$#&*"
+
+
 class PieceCache(dict):
     """A text's part between blanks -> its token ids as bytes.
 
-    Holds for tokenizers whose pre-tokens never span white space and drop it, so that a text's ids
-    are those of its parts in order. Parts of over 64 bytes are not kept; the cache starts anew
-    when it has ``most`` entries.
+    Holds for tokenizers that lower-case and whose pre-tokens never span white space and drop it,
+    so that a text's ids are those of its parts in order, and those of a word with signs after it
+    are the word's and the signs'. Unknown parts of a group of texts are encoded in one call. The
+    cache starts anew when it has ``most`` entries; parts of over 64 bytes are not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 400_000):
+    def __init__(self, tokenizer, kind: str, most: int = 600_000):
         super().__init__()
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
 
-    def __missing__(self, part: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(part) <= 64:
-            if len(self) >= self.most:
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        found: list[bytes] = []
+        i = 0
+        while i < len(texts):
+            group, size = [], 0
+            while i < len(texts) and (not group or size + len(texts[i]) < 1 << 21):
+                x = texts[i].replace(b"\n", b" ")
+                group.append((x if b"<|" in x else x.lower()).split(b" "))  # special tokens are not lower-cased
+                size += len(x)
+                i += 1
+            parts = set().union(*group)
+            if len(self) > self.most:
                 self.clear()
-            self[part] = ids
-        return ids
+            long = self._learn(parts - self.keys())
+            found += [b"".join(map(self.__getitem__, x)) for x in group]
+            for x in long:
+                del self[x]
+        return found
+
+    def _learn(self, parts: set[bytes]) -> list[bytes]:
+        cut = {}
+        for part in parts:
+            text = part.decode()
+            stem = text.rstrip(TAIL)
+            cut[part] = (stem, text[len(stem) :]) if stem != text and stem[-1:].lower().isalnum() else (text,)
+        want = list({x for xs in cut.values() for x in xs if x.encode() not in self})
+        for text, encoded in zip(want, self.tokenizer.encode_batch_fast(want, add_special_tokens=False), strict=True):
+            self[text.encode()] = np.array(encoded.ids, self.kind).tobytes()
+        for part, xs in cut.items():
+            if len(xs) > 1:
+                self[part] = self[xs[0].encode()] + self[xs[1].encode()]
+        return [x for x in {*parts, *(x.encode() for x in want)} if len(x) > 64]
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,6 +76,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -52,7 +84,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
         width, end = int(kind[2]), b"" if end_id is None else np.array([end_id], kind).tobytes()
         cache, part, before = PieceCache(tokenizer, kind), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [b"".join(map(cache.__getitem__, x.replace(b"\n", b" ").split(b" "))) + end for x in raw_bytes(batch.column(1))]
+            ids = [x + end for x in cache.ids(raw_bytes(batch.column(1)))]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
