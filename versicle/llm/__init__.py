@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "simhash", "sketch", "licenses", "warc", "toxicity", "decontaminate", "urls", "tokencounts")
+MODULES = ("packing", "simhash", "sketch", "repeats", "licenses", "warc", "toxicity", "decontaminate", "urls", "tokencounts")
 
 
 def queries() -> dict:
