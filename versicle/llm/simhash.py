@@ -149,6 +149,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str
     return table.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id; columns as before.
+
+    Repeated rows of the kept id count as copies too. Rows with a null id go if their group has
+    another id; of groups with null ids alone one row of each distinct text stays.
+    """
+    keep = near_duplicates(docs, k, distance, id_col, text_col).select(F.col("component_id").alias("__kept")).distinct()
+    key = docs[id_col].cast("long")
+    found = docs.join(keep, key.eqNullSafe(keep["__kept"]), "left_semi")
+    own = F.when(key.isNull(), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    return found.select(*docs.columns, key.alias("__id"), own.alias("__own")).dropDuplicates(["__id", "__own"]).select(*docs.columns)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
