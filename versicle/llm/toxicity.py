@@ -7,18 +7,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
+from sys import intern
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled rows to fit on: so many at most, none of over so many characters.
-FIT_ROWS, FIT_CHARS = 8000, 200_000
+FIT_ROWS, FIT_CHARS = 4000, 200_000
 #: Terms to learn from them: so many at most, each in so many toxic rows at least.
 LEARNED_TERMS, LEARNED_LEAST = 3000, 3
 
+#: A text of this score or more is predicted toxic.
+THRESHOLD = 0.7
+
 #: Common English insults and slurs of contempt.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown clowns fool fools imbecile cretin jerk jerks bastard bastards bitch ass asshole crap damn "
@@ -108,9 +112,18 @@ def learn_terms(bags: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
     """Units with the highest smoothed log odds of being in a toxic row, with those odds."""
     with_, without = Counter(), Counter()
     for bag, y in zip(bags, toxic, strict=True):
-        (with_ if y else without).update(bag)
+        if y:
+            with_.update({u for w in bag for u in units(w)})
+    with_ = {u: c for u, c in with_.items() if c >= LEARNED_LEAST}
+    of: dict[str, tuple[str, ...]] = {}
+    for bag, y in zip(bags, toxic, strict=True):
+        if not y:
+            for w in bag:
+                if w not in of:
+                    of[w] = tuple(u for u in units(w) if u in with_)
+            without.update({u for w in bag for u in of[w]})
     n1, n0 = toxic.sum() + 1.0, (1 - toxic).sum() + 1.0
-    odds = {u: float(np.log((c + 0.5) / n1 * n0 / (without[u] + 0.5))) for u, c in with_.items() if c >= LEARNED_LEAST}
+    odds = {u: float(np.log((c + 0.5) / n1 * n0 / (without[u] + 0.5))) for u, c in with_.items()}
     best = sorted((u for u in odds if odds[u] > 2.0), key=lambda u: (-odds[u] * min(with_[u], 20), u))[:LEARNED_TERMS]
     return {u: min(odds[u], 9.0) for u in best}
 
@@ -198,7 +211,7 @@ class Model:
 
     def fit(self, texts: list[str], labels: list[int], folds: int = 4) -> Model:
         y = np.array(labels, np.float64)
-        bags = [{u for w in {w.strip("!") for w in words_of(t)} for u in units(w)} for t in texts]
+        bags = [{intern(w) for w in {w.strip("!") for w in words_of(t)}} for t in texts]
         fold = np.arange(len(y)) % folds
         x = np.zeros((len(y), len(FEATURES)), np.float32)
         for k in range(folds):  # a row's terms are learned from the other rows, as they will be for new ones
@@ -245,12 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, from its whole text alone, plus the ``keep`` columns.
-
-    Null and empty texts get the score of a text without features; held_out is null for a null id.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # size bounded by LEARNED_TERMS and the trees
+def scorer(spark: SparkSession, model: Model):
+    """A function of a text column: the model's score of each whole text."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # size bounded by LEARNED_TERMS and the trees
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -259,8 +269,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part in texts:
             yield pd.Series(fitted([x or "" for x in part], facts), dtype="float64")
 
-    found = docs.select(docs[id_col].cast("long").alias("doc_id"), scored(docs[text_col]).alias("score"), *(docs[c] for c in keep))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
+    return scored
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, from its whole text alone.
+
+    Null and empty texts get the score of a text without features; held_out is null for a null id.
+    """
+    scored = scorer(docs.sparkSession, model)
+    found = docs.select(docs[id_col].cast("long").alias("doc_id"), scored(docs[text_col]).alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; columns as before."""
+    return docs.filter(scorer(docs.sparkSession, model)(docs[text_col]) < threshold)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
