@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -45,6 +47,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def worker_memory() -> dict:
+    """A dictionary that lives as long as the Python worker, which Spark reuses from task to task."""
+    return sys.modules.setdefault("_versicle_worker", types.ModuleType("_versicle_worker")).__dict__
+
+
 def raw_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column (null: empty), without decoding."""
     import pyarrow as pa

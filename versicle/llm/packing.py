@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import id_text, raw_bytes, stage
+from ._util import id_text, raw_bytes, stage, worker_memory
 
 #: Sequences packed together; a block is this many sequences, whatever the size of the corpus.
 BLOCK_SEQUENCES = 64
@@ -30,9 +30,14 @@ class PieceCache(dict):
     cache starts anew when it has ``most`` entries; parts of over 64 bytes are not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 600_000):
+    def __init__(self, tokenizer, kind: str, most: int = 1_000_000):
         super().__init__()
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
+        vocabulary = tokenizer.get_vocab(True)
+        self.ends = None
+        if any(x.endswith("</w>") for x in vocabulary):
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         found: list[bytes] = []
@@ -60,14 +65,29 @@ class PieceCache(dict):
             stem = text.rstrip(TAIL)
             cut[part] = (stem, text[len(stem) :]) if stem != text and stem[-1:].lower().isalnum() else (text,)
         want = list({x for xs in cut.values() for x in xs if x.encode() not in self})
-        for text, encoded in zip(want, self.tokenizer.encode_batch_fast(want, add_special_tokens=False), strict=True):
-            self[text.encode()] = np.array(encoded.ids, self.kind).tobytes()
+        for text, ids in zip(want, self._encode(want), strict=True):
+            self[text.encode()] = ids
         for part, xs in cut.items():
             if len(xs) > 1:
                 self[part] = self[xs[0].encode()] + self[xs[1].encode()]
         return [x for x in {*parts, *(x.encode() for x in want)} if len(x) > 64]
 
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words of letters alone go as one text, parted again at the ids that end a word."""
+        if self.ends is None:
+            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [x.isalpha() for x in texts]
+        joined = self.tokenizer.encode_batch_fast([" ".join(x for x, ok in zip(texts, plain, strict=True) if ok)], add_special_tokens=False)[0].ids
+        ids = np.array(joined, self.kind)
+        edges = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()] if len(ids) else [0]
+        if len(edges) - 1 != sum(plain):  # some letter became two pre-tokens
+            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = iter(zip(edges, edges[1:], strict=False))
+        others = iter(self.tokenizer.encode_batch_fast([x for x, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False))
+        return [ids[slice(*next(words))].tobytes() if ok else np.array(next(others).ids, self.kind).tobytes() for ok in plain]
+
+
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_ids, part, part_start): each document's ids, two or four little-endian bytes each.
 
@@ -79,10 +99,14 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        kind = "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4"
+        held = worker_memory()
+        if ("pieces", tokenizer_path) not in held:
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            held["pieces", tokenizer_path] = PieceCache(tokenizer, "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4")
+        cache = held["pieces", tokenizer_path]
+        kind = cache.kind
         width, end = int(kind[2]), b"" if end_id is None else np.array([end_id], kind).tobytes()
-        cache, part, before = PieceCache(tokenizer, kind), TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [x + end for x in cache.ids(raw_bytes(batch.column(1)))]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
