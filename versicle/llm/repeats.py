@@ -178,7 +178,7 @@ def hot_anchors(source: DataFrame, least: int, k: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__doc, __tag, spans): the byte ranges of each document that repeat earlier bytes.
+    """(__doc, __tag, __spans): the byte ranges of each document that repeat earlier bytes.
 
     1. Each task finds its texts' anchors and combines them in chunks: of anchors with equal key and
        context only the first goes on, the others' windows are known to be repeats. A class however
@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
 
     late = contexts.repartition(buckets, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(scan, "doc long, at long, size long")
     spans = met.filter("not asked").select("doc", "at", "size").unionByName(late).select(*place, "size")
-    return spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+    return spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("at", "size")).alias("__spans"))
 
 
 def kept_ranges(n: int, at: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], int, int]:
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [x[1] for x in out], [x[2] for x in out]))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     found = _with_spans(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), least, "doc_id", "text")
-    return found.select("doc_id", "__text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return found.select("doc_id", "__text", "__spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def _flat(spans: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -382,7 +382,7 @@ def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     found = _with_spans(docs, least, id_col, text_col)
-    return found.select(*(found[c] for c in names), "spans").mapInArrow(run, schema)
+    return found.select(*(found[c] for c in names), "__spans").mapInArrow(run, schema)
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:
