@@ -63,7 +63,7 @@ def raw_bytes(column) -> list[bytes]:
 class HashCache(dict):
     """bytes -> 8 bytes of its XXH3 hash, remembered; emptied when it grows over ``most`` entries."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         from xxhash import xxh3_64_digest
 

@@ -26,13 +26,15 @@ class PieceCache(dict):
 
     Holds for tokenizers that lower-case and whose pre-tokens never span white space and drop it,
     so that a text's ids are those of its parts in order, and those of a word with signs after it
-    are the word's and the signs'. Unknown parts of a group of texts are encoded in one call. The
-    cache starts anew when it has ``most`` entries; parts of over 64 bytes are not kept.
+    are the word's and the signs'. Unknown parts of a group of texts are encoded in one call. At
+    ``most`` entries only those met again since the last time stay; parts of over 64 bytes are
+    not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 1_000_000):
+    def __init__(self, tokenizer, kind: str, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
+        self.again: set[bytes] = set()
         vocabulary = tokenizer.get_vocab(True)
         self.ends = None
         if any(x.endswith("</w>") for x in vocabulary):
@@ -50,12 +52,19 @@ class PieceCache(dict):
                 size += len(x)
                 i += 1
             parts = set().union(*group)
-            if len(self) > self.most:
+            known = parts & self.keys()
+            self.again |= known
+            if len(self) + len(parts) - len(known) > self.most:
+                kept = {x: self[x] for x in self.again} if len(self.again) < self.most // 2 else {}
                 self.clear()
-            long = self._learn(parts - self.keys())
+                self.update(kept)
+                self.again = set()
+                known = parts & self.keys()
+            long = self._learn(parts - known)
             found += [b"".join(map(self.__getitem__, x)) for x in group]
             for x in long:
                 del self[x]
+                self.again.discard(x)
         return found
 
     def _learn(self, parts: set[bytes]) -> list[bytes]:

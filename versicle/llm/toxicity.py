@@ -54,7 +54,7 @@ def words_of(text: str) -> list[str]:
 class WordFacts(dict):
     """word -> weight of its best learned unit, plus 100 for an insult, 200 for a pronoun, 400 for an obfuscated insult, 800 for letters mixed with signs."""
 
-    def __init__(self, learned: dict[str, float], most: int = 400_000):
+    def __init__(self, learned: dict[str, float], most: int = 250_000):
         super().__init__()
         self.learned, self.most = learned, most
 
