@@ -9,6 +9,16 @@ from pyspark.sql.window import Window
 SECTION = "id string, romanized string, page_start int, page_end int, ord int"
 
 
+def exact_mean(total, n):
+    """Mean of densities from their sum in whole millionths, to the nearest one: no order of rows changes it."""
+    return F.floor(total / n + 0.5) / 1e6
+
+
+def millionths(density="density"):
+    """Sum of six-place densities as a whole number."""
+    return F.sum(F.round(F.col(density) * 1e6).cast("long"))
+
+
 def page_map(sections: DataFrame) -> DataFrame:
     """(page, section): the intervals spelled out, the first in order where several hold a page; as small as the page range."""
     each = sections.select(F.col("id").alias("section"), "ord", F.explode(F.sequence("page_start", "page_end")).alias("page"))
@@ -17,7 +27,7 @@ def page_map(sections: DataFrame) -> DataFrame:
 
 def by_page(long: DataFrame) -> DataFrame:
     """page, dim, lines and mean density over the page's lines."""
-    return long.groupBy("page", "dim").agg(F.count("*").alias("lines"), F.round(F.avg("density"), 6).alias("mean_density"))
+    return long.groupBy("page", "dim").agg(F.count("*").alias("lines"), exact_mean(millionths(), F.count("*")).alias("mean_density"))
 
 
 def ratio_by_page(long: DataFrame, n_col: str = "n_tokens") -> DataFrame:
@@ -46,10 +56,10 @@ def sliding(long: DataFrame, width: int = 20) -> DataFrame:
     Lines are first summed by page; the range frame then runs over the page range, which is as
     small as the book has pages.
     """
-    page = long.groupBy("dim", "page").agg(F.sum("density").alias("s"), F.count("*").alias("n"))
+    page = long.groupBy("dim", "page").agg(millionths().alias("s"), F.count("*").alias("n"))
     reach = page.groupBy("dim").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
     spine = reach.select("dim", "hi", F.explode(F.sequence("lo", F.greatest("lo", F.col("hi") - width + 1))).alias("page")).filter(F.col("page") + width - 1 <= F.greatest("hi", F.col("page") + width - 1))
     full = reach.select("dim", F.explode(F.sequence("lo", "hi")).alias("page")).join(page, ["dim", "page"], "left")
     frame = Window.partitionBy("dim").orderBy("page").rangeBetween(0, width - 1)
     summed = full.select("dim", "page", F.sum("s").over(frame).alias("s"), F.sum("n").over(frame).alias("n"))
-    return spine.select("dim", "page").join(summed, ["dim", "page"]).select(F.col("page").alias("window_start"), (F.col("page") + width - 1).alias("window_end"), "dim", F.round(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)), 6).alias("mean_density"))
+    return spine.select("dim", "page").join(summed, ["dim", "page"]).select(F.col("page").alias("window_start"), (F.col("page") + width - 1).alias("window_end"), "dim", F.coalesce(exact_mean(F.col("s"), F.col("n")), F.lit(0.0)).alias("mean_density"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import density, percent
+from .density import exact_mean, millionths
 from .lexicon import DIMENSIONS
 
 
@@ -35,5 +36,5 @@ def dimension_summary(wide: DataFrame, n_col: str = "n_tokens") -> DataFrame:
     """dim, hits, lines with a hit, their share in percent, mean and greatest density."""
     long = unpivoted(wide, (), n_col)
     return long.groupBy("dim").agg(
-        F.sum("count").alias("hits"), F.count_if(F.col("count") > 0).alias("lines_hit"), F.round(percent(F.count_if(F.col("count") > 0), F.count("*")), 2).alias("pct_lines"), F.round(F.avg("density"), 6).alias("avg_density"), F.max("density").alias("max_density")
+        F.sum("count").alias("hits"), F.count_if(F.col("count") > 0).alias("lines_hit"), F.round(percent(F.count_if(F.col("count") > 0), F.count("*")), 2).alias("pct_lines"), exact_mean(millionths(), F.count("*")).alias("avg_density"), F.max("density").alias("max_density")
     )

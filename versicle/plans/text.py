@@ -160,13 +160,13 @@ def line_features_wide(spark, sf):
     return base.wide(spark, sf).drop("page", "author", "group_id")
 
 
-@query("dim_summary", w('SELECT dim, CAST(sum("count") AS BIGINT) AS hits, count(*) FILTER ("count" > 0) AS lines_hit, round(count(*) FILTER ("count" > 0) * 100.0::DOUBLE / count(*), 2) AS pct_lines, round(avg(density), 6) AS avg_density, max(density) AS max_density FROM long GROUP BY dim'))
+@query("dim_summary", w('SELECT dim, CAST(sum("count") AS BIGINT) AS hits, count(*) FILTER ("count" > 0) AS lines_hit, round(count(*) FILTER ("count" > 0) * 100.0::DOUBLE / count(*), 2) AS pct_lines, floor(sum(CAST(round(density * 1e6) AS BIGINT)) / CAST(count(*) AS DOUBLE) + 0.5) / 1e6 AS avg_density, max(density) AS max_density FROM long GROUP BY dim'))
 def dim_summary(spark, sf):
     """AGG11."""
     return features.dimension_summary(base.wide(spark, sf))
 
 
-@query("page_density_mean", w("SELECT page, dim, count(*) AS lines, round(avg(density), 6) AS mean_density FROM long GROUP BY ALL"))
+@query("page_density_mean", w("SELECT page, dim, count(*) AS lines, floor(sum(CAST(round(density * 1e6) AS BIGINT)) / CAST(count(*) AS DOUBLE) + 0.5) / 1e6 AS mean_density FROM long GROUP BY ALL"))
 def page_density_mean(spark, sf):
     """AGG8, JN3, DEN1."""
     return density.by_page(base.long(spark, sf))
@@ -194,9 +194,9 @@ def section_stats(spark, sf):
     return density.by_section(base.long(spark, sf), base.sections(spark), lexicon.DIMENSIONS)
 
 
-@query("sliding_density", w("""SELECT s.page AS window_start, CAST(s.page + 19 AS INT) AS window_end, d.dim, round(coalesce(sum(l.s) / sum(l.n), 0), 6) AS mean_density
+@query("sliding_density", w("""SELECT s.page AS window_start, CAST(s.page + 19 AS INT) AS window_end, d.dim, coalesce(floor(sum(l.s) / CAST(sum(l.n) AS DOUBLE) + 0.5) / 1e6, 0) AS mean_density
 FROM (SELECT CAST(unnest(range(lo, greatest(lo, hi - 19) + 1)) AS INT) AS page FROM (SELECT min(page) AS lo, max(page) AS hi FROM lines)) s CROSS JOIN dims d
-LEFT JOIN (SELECT page, dim, sum(density) AS s, count(*) AS n FROM long GROUP BY ALL) l ON l.dim = d.dim AND l.page BETWEEN s.page AND s.page + 19 GROUP BY ALL"""))
+LEFT JOIN (SELECT page, dim, sum(CAST(round(density * 1e6) AS BIGINT)) AS s, count(*) AS n FROM long GROUP BY ALL) l ON l.dim = d.dim AND l.page BETWEEN s.page AND s.page + 19 GROUP BY ALL"""))
 def sliding_density(spark, sf):
     """WIN3."""
     return density.sliding(base.long(spark, sf), 20)
