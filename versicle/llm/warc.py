@@ -201,4 +201,16 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_warc": op6_warc}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": f"""WITH u AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS rest FROM pages),
+c AS (SELECT page_id, html, '"' || substr(sha256(html), 1, 16) || '"' AS tag, 'Day ' || page_id AS day, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+  list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^({TRACKING})(=|$)'))) AS q FROM u),
+r AS (SELECT page_id, html, tag, day, CASE WHEN len(q) > 0 THEN base || '?' || array_to_string(q, '&') ELSE base END AS canonical, 1700000000 + page_id * 60 AS t FROM c),
+v AS (SELECT page_id, canonical, 1 AS visit, t + (page_id * 7919) % 95 * 3600 + 3600 AS t, 'W/' || tag AS etag, day FROM r
+  UNION ALL SELECT page_id, canonical, 2, t + 604800, CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 5 = 0 OR page_id % 11 = 0 THEN NULL ELSE tag END, CASE WHEN page_id % 11 <> 0 THEN day END FROM r),
+f AS (SELECT v.page_id, v.canonical, v.visit, v.etag, v.day, arg_max(r.page_id, (r.t, r.page_id || '-0')) AS found FROM v LEFT JOIN r ON r.canonical = v.canonical AND r.t < v.t GROUP BY ALL),
+o AS (SELECT f.*, r.html, r.tag, r.day AS old, coalesce(regexp_replace(f.etag, '^W/', '') = r.tag, f.day = r.day) AS agree FROM f LEFT JOIN r ON r.page_id = f.found),
+k AS (SELECT *, CASE WHEN found IS NULL THEN 'missing' WHEN agree IS NULL THEN 'unchecked' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS outcome FROM o)
+SELECT page_id || '-' || visit AS record_id, canonical, outcome, found || '-0' AS response_id, CASE WHEN outcome IN ('resolved', 'unchecked') THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || octet_length(encode(html)) || chr(10) || 'content-type: text/html' || chr(10) || 'date: visit ' || visit || chr(10) || 'etag: ' || coalesce(etag, tag) || chr(10) || 'last-modified: ' || coalesce(day, old) END AS headers,
+CASE WHEN outcome IN ('resolved', 'unchecked') THEN sha256(html) END AS payload_sha256 FROM k"""
+}
