@@ -206,7 +206,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """
     families = tuple(TEMPLATES)
     source = id_text(docs, id_col, text_col).filter(F.length("text") <= 200_000)
-    texts = [r["text"] for r in source.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 10).collect()] if sample else []
+    first = source.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 10)
+    texts = [r["text"] for r in source.join(F.broadcast(first), "doc_id", "left_semi").limit(sample).collect()] if sample else []  # ids first: texts of the chosen alone reach the driver
     picked = [x.encode() for t in sorted(texts) for x in t.split("\n") if len(x) >= 20][:sample]
     model, cache, rng = LicenceModel(families), HashCache(), np.random.default_rng(7)
     split = lambda text: PUNCTUATION.sub(b" ", text.lower()).split()[:PIECE_WORDS]
