@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._util import stage
+
 #: (verdict, host, path prefix); a rule covers its host and all subdomains.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -110,10 +112,21 @@ class NaiveBayes:
 
 
 def unigrams(pages: DataFrame, html_col: str = "html", most: int = 50_000) -> dict[str, int]:
-    """The ``most`` frequent words of all page titles, counted over every page: the size of the model, not of its data."""
+    """The frequent words of all page titles, counted over every page: the size of the model, not of its data.
+
+    Taken are all words of at least the least count that no more than ``most`` words reach. The
+    counts of counts come to the driver first, then those words; nothing is sorted.
+    """
     title = F.regexp_extract(pages[html_col], "(?is)<title[^>]*>([^<]*)", 1)
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit("(\\p{L}+)"), 1)).alias("w"))
-    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()}
+    counts = stage(words.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
+    total, least = 0, None
+    for n, k in sorted((tuple(r) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
+        total += k
+        if total > most:
+            break
+        least = n
+    return {r["w"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()} if least is not None else {}
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", seed_weight: int = 1000) -> DataFrame:
