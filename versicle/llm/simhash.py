@@ -16,21 +16,29 @@ from .components import connected_components
 BYTES = 8
 
 
-def simhash(text: bytes, k: int) -> int:
-    """Unsigned 64-bit SimHash of a text's ``k``-word shingles, repeats included."""
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    """64-bit hashes of a text's ``k``-word shingles, repeats included; of fewer words, one of the whole."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - k + 1)
     if n == 1:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     cuts = map(slice, (ends - sizes)[:n].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), np.uint64, n)
+
+
+def simhash(text: bytes, k: int) -> int:
+    """Unsigned 64-bit SimHash of a text's ``k``-word shingles, repeats included."""
+    hashes = shingle_hashes(text, k)
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -155,7 +163,12 @@ def one_of_each(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "d
     Repeated rows of the kept id count as copies too. Rows with a null id go if their group has
     another id; of groups with null ids alone one row of each distinct text stays.
     """
-    keep = near_duplicates(docs, k, distance, id_col, text_col).select(F.col("component_id").alias("__kept")).distinct()
+    return kept_of(docs, near_duplicates(docs, k, distance, id_col, text_col), id_col, text_col)
+
+
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay of the groups in ``found`` (component_id), as in ``one_of_each``."""
+    keep = found.select(F.col("component_id").alias("__kept")).distinct()
     key = docs[id_col].cast("long")
     found = docs.join(keep, key.eqNullSafe(keep["__kept"]), "left_semi")
     own = F.when(key.isNull(), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
