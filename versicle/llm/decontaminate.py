@@ -15,8 +15,11 @@ from ._util import HashCache, id_text, mix64, raw_bytes, stage
 #: Masks of 8 words out of 11 or 12: a window matches a mask if the words at its ones agree. The first
 #: asks for eight words in a row; each of the others tolerates substitutions where it has zeros.
 MASKS = ("11111111", "11011011011", "10110110111", "111010010111", "110110001111")
-#: Verified overlap: so many words at least, and so large a share of the benchmark item and of the aligned words.
-LEAST_WORDS, LEAST_SHARE = 8, 0.8
+#: Verified overlap: a window of so many aligned words, or a whole item; so many words of an item equal at
+#: least (or all of a shorter item), and so large a share of the aligned words.
+WINDOW, LEAST_WORDS, LEAST_SHARE = 13, 8, 0.8
+#: Diagonals so near each other are joined: one place with words inserted or lost.
+SHIFT = 3
 #: The benchmark's seed index is sent to every task up to this many seeds; beyond, seeds are joined by shuffle.
 BROADCAST_SEEDS = 4_000_000
 
@@ -42,8 +45,8 @@ def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 
 def all_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of all masked windows; a text too short for any mask is one seed of its own."""
-    if 0 < len(words) < len(MASKS[0]):
+    """Hashes and first words of all masked windows; a text of fewer than LEAST_WORDS is one seed of its own."""
+    if 0 < len(words) < LEAST_WORDS:
         total = np.uint64(0)
         for w in words:
             total = total * np.uint64(0x9E3779B97F4A7C15) + w
@@ -52,23 +55,72 @@ def all_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate([np.arange(len(x)) for x in found])
 
 
+def accepted(same: np.ndarray, size: int, least: int = LEAST_WORDS, share: float = LEAST_SHARE) -> tuple[int, int, int] | None:
+    """(first, columns, equal) of the overlap in ``same``, which tells of each aligned column if its words are equal.
+
+    It is the run from the first to the last equal word if its equal words are ``share`` of it and
+    of the item's ``size`` words, and ``least`` or more (or the whole of a shorter item). Else it is
+    the longest run of overlapping windows of WINDOW columns, each with ``share`` of equal words.
+    """
+    at = np.flatnonzero(same)
+    if len(at) < min(least, size):
+        return None
+    n = int(at[-1] - at[0]) + 1
+    if len(at) >= share * max(n, size):
+        return int(at[0]), n, len(at)
+    sums = np.concatenate([[0], np.cumsum(same)])
+    good = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= share * WINDOW) if len(same) >= WINDOW else at[:0]
+    if not len(good):
+        return None
+    ends = np.flatnonzero(np.append(np.diff(good) > WINDOW, True))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    found = []
+    for x, y in zip(good[starts].tolist(), good[ends].tolist(), strict=True):
+        own = at[(at >= x) & (at < y + WINDOW)]
+        found.append((len(own), int(own[0]), int(own[-1] - own[0]) + 1))
+    equal, first, n = max(found, key=lambda f: (f[0], -f[1]))
+    return first, n, equal
+
+
 def verify(doc: np.ndarray, item: np.ndarray, at: int, least: int = LEAST_WORDS, share: float = LEAST_SHARE) -> tuple[int, int, int, int] | None:
-    """(doc start, item start, words, equal words) of the overlap along one diagonal, or None.
+    """(doc start, item start, words, equal words) of the overlap along one diagonal (see ``accepted``), or None.
 
-    ``at`` is the word of ``doc`` that faces the item's first. The overlap is the run of facing
-    words, cut to its first and last equal word; it counts if its equal words are ``share`` of it
-    and of the item, and ``least`` or more (or the whole of a shorter item).
+    ``at`` is the word of ``doc`` that faces the item's first.
     """
     a, b = max(0, at), min(len(doc), at + len(item))
     if b <= a:
         return None
-    same = np.flatnonzero(doc[a:b] == item[a - at : b - at])
-    if not len(same):
+    found = accepted(doc[a:b] == item[a - at : b - at], len(item), least, share)
+    return found and (a + found[0], a + found[0] - at, *found[1:])
+
+
+def _facing(doc: np.ndarray, item: np.ndarray, at: int) -> np.ndarray:
+    """For each word of ``item``, if the word of ``doc`` that faces it is equal."""
+    same = np.zeros(len(item), bool)
+    a, b = max(0, at), min(len(doc), at + len(item))
+    same[max(0, a - at) : max(0, b - at)] = doc[a:b] == item[a - at : b - at] if b > a else False
+    return same
+
+
+def verify_joined(doc: np.ndarray, item: np.ndarray, at: int, then: int) -> tuple[int, int, int, int] | None:
+    """As ``verify``, for an item that goes on at the diagonal ``then`` after words inserted or lost.
+
+    The change comes where it leaves the most equal words; inserted and lost words are columns
+    without equal words. ``words`` are columns.
+    """
+    one, two = _facing(doc, item, at), _facing(doc, item, then)
+    lost, more = max(0, at - then), max(0, then - at)
+    before = np.concatenate([[0], np.cumsum(one)])
+    after = np.concatenate([np.cumsum(two[::-1])[::-1], [0]])
+    cuts = np.arange(len(item) - lost + 1) if len(item) >= lost else np.empty(0, np.int64)
+    if not len(cuts):
         return None
-    first, n = int(same[0]), int(same[-1] - same[0]) + 1
-    if len(same) < min(least, len(item)) or len(same) < share * n or len(same) < share * len(item):
+    cut = int(np.argmax(before[cuts] + after[cuts + lost]))
+    found = accepted(np.concatenate([one[:cut], np.zeros(lost + more, bool), two[cut + lost :]]), len(item))
+    if not found:
         return None
-    return a + first, a + first - at, n, len(same)
+    start = found[0] if found[0] < cut else found[0] - more
+    return start + (at if found[0] < cut else then), start, *found[1:]
 
 
 class SeedIndex:
@@ -92,12 +144,12 @@ class SeedIndex:
         self.bits = max(16, int(len(self.keys) * 16).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < len(MASKS[0])})
+        self.short = sorted({len(w) for w in self.words if 0 < len(w) < LEAST_WORDS})
 
     def overlaps(self, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item number, doc start, item start, words, equal words): the best overlap with each item met."""
-        keys, at = all_seeds(doc) if len(doc) >= len(MASKS[0]) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        for n in self.short:  # items of fewer words than a mask: whole, at any place
+        keys, at = all_seeds(doc) if len(doc) >= LEAST_WORDS else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for n in self.short:  # items of fewer words: whole, at any place
             rolled = np.zeros(max(0, len(doc) - n + 1), np.uint64)
             for i in range(n):
                 rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + doc[i : i + len(rolled)]
@@ -108,8 +160,9 @@ class SeedIndex:
         lo, hi = (np.searchsorted(self.keys, keys[hit], side=s) for s in ("left", "right"))
         diagonals = {(int(self.item[j]), int(at[h] - self.at[j])) for h, x, y in zip(hit, lo, hi, strict=True) for j in range(x, y)}
         best: dict[int, tuple] = {}
-        for k, d in sorted(diagonals):
-            found = verify(doc, self.words[k], d)
+        joined = [(k, d, d + x) for k, d in diagonals for x in range(-SHIFT, SHIFT + 1) if x and (k, d + x) in diagonals]
+        for k, d, *then in sorted([*diagonals, *joined]):
+            found = verify_joined(doc, self.words[k], d, *then) if then else verify(doc, self.words[k], d)
             if found and (k not in best or found[3] > best[k][3]):
                 best[k] = found
         return [(k, *v) for k, v in best.items()]
@@ -123,7 +176,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Texts are words (A-Z lower-cased, ASCII punctuation dropped). A pair meets if it shares a seed:
     for one of MASKS, the words at the mask's ones agree; verification compares word by word along
-    the hit's diagonal (see ``verify``). Null and empty texts on either side match nothing; repeated
+    the hit's diagonal (see ``accepted``), and along two hit diagonals at most SHIFT apart. With
+    insertions or losses at several places, only what two diagonals or one accept is found. Null and empty texts on either side match nothing; repeated
     documents each give rows; items are matched once per distinct text and id. Whole documents are
     scanned. The seed index is broadcast while the benchmark has at most BROADCAST_SEEDS seeds,
     counted first; a larger benchmark is split by item into parts of that size, so that no task
