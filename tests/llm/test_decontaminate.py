@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from versicle.llm import decontaminate as D
@@ -25,8 +26,35 @@ def test_many_substitutions():
     assert found(words(9, 900) + doc + words(9, 800), item)
 
 
-@pytest.mark.parametrize("n", [20, 25])
+@pytest.mark.parametrize("n", [12, 20, 25])
 def test_inserted_and_lost_words(n):
     item, half = words(n), n // 2
     assert found(words(30, 1000) + item[:half] + ["new"] + item[half:] + words(30, 2000), item) == [(0, 30, 0, n + 1, n)]
     assert found(words(30, 1000) + item[:half] + item[half + 1 :] + words(30, 2000), item) == [(0, 30, 0, n, n - 1)]
+
+
+def fewest(masks, most):
+    """For each length up to ``most``, the fewest substitutions that leave no mask whole, over all patterns."""
+    span = max(map(len, masks)) - 1
+    ones = [[len(m) - 1 - i for i, c in enumerate(m) if c == "1"] for m in masks]
+    states, out = {(1 << span) - 1: 0}, []
+    for _ in range(most):
+        after = {}
+        for state, cost in states.items():
+            for bit in (0, 1):
+                now = state << 1 | bit
+                if all(any(now >> i & 1 for i in m) for m in ones):
+                    key = now & (1 << span) - 1
+                    after[key] = min(after.get(key, most), cost + bit)
+        states = after
+        out.append(min(states.values()))
+    return out
+
+
+def test_no_accepted_pattern_escapes_the_masks():
+    """Windows and items of 8 to 79 words; longer ones are made of two or more of 40 to 79, so they hold too."""
+    for n, k in enumerate(fewest(D.MASKS, 79), 1):
+        if n >= D.LEAST_WORDS:
+            assert n - k < max(D.LEAST_WORDS, D.LEAST_SHARE * n), n
+    item = np.array([1] * D.WINDOW, bool)
+    assert D.accepted(item, 100) == (0, 13, 13) and D.accepted(item[:12], 100) is None

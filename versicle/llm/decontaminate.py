@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ._util import HashCache, id_text, mix64, raw_bytes, stage
 
-#: Masks of 8 words out of 11 or 12: a window matches a mask if the words at its ones agree. The first
-#: asks for eight words in a row; each of the others tolerates substitutions where it has zeros.
-MASKS = ("11111111", "11011011011", "10110110111", "111010010111", "110110001111")
+#: Masks of 5 words: a window matches a mask if the words at its ones agree. Every pattern of
+#: substitutions along one diagonal that ``verify`` accepts leaves one of them whole (a test enumerates them).
+MASKS = ("111011", "11001011", "11111")
 #: Verified overlap: a window of so many aligned words, or a whole item; so many words of an item equal at
 #: least (or all of a shorter item), and so large a share of the aligned words.
 WINDOW, LEAST_WORDS, LEAST_SHARE = 13, 8, 0.8
