@@ -25,6 +25,8 @@ ALLOW_NAMES = (
     "public radio", "family doctor", "art gallery", "book review", "local council", "math notes", "language course", "bird watch", "film archive", "free software", "farm market", "track and field",
     "research lab", "home page", "the other one", "open data", "write code", "safe web",
 )
+#: The longest word the segmenter knows.
+LONGEST = 24
 #: Words of any site's URLs; they stand in every training name of either class, so they say nothing.
 COMMON = "http https www m blog news example com org net en fr de es html htm php index page article tag id".split()
 
@@ -49,8 +51,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Most likely split of a run of letters into words under a unigram model (Viterbi)."""
 
-    def __init__(self, counts: dict[str, int], longest: int = 24):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], longest: int = LONGEST, total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.score = {w: math.log(n / self.total) for w, n in counts.items() if len(w) <= longest}
         self.longest = longest
         self.known: dict[str, tuple[str, ...]] = {}
@@ -111,22 +113,49 @@ class NaiveBayes:
         return odds + sum(block[t] - allow[t] for t in tokens if t in block)
 
 
-def unigrams(pages: DataFrame, html_col: str = "html", most: int = 50_000) -> dict[str, int]:
-    """The frequent words of all page titles, counted over every page: the size of the model, not of its data.
-
-    Taken are all words of at least the least count that no more than ``most`` words reach. The
-    counts of counts come to the driver first, then those words; nothing is sorted.
-    """
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n): every word of all page titles, counted over every page; of single letters m, a and x."""
     title = F.regexp_extract(pages[html_col], "(?is)<title[^>]*>([^<]*)", 1)
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit("(\\p{L}+)"), 1)).alias("w"))
-    counts = stage(words.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
-    total, least = 0, None
-    for n, k in sorted((tuple(r) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
-        total += k
-        if total > most:
-            break
-        least = n
-    return {r["w"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()} if least is not None else {}
+    return words.filter((F.length("w") > 1) | F.col("w").isin("m", "a", "x")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def segmented(urls: DataFrame, counts: DataFrame, seeds: dict[str, int]) -> DataFrame:
+    """(host, path, words) of the distinct (host, path) of ``urls``: their runs, split by all of ``counts`` and ``seeds``.
+
+    Each distinct run of letters gets the counts of its own substrings alone, and the table's total:
+    no task and no broadcast holds the vocabulary.
+    """
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + sum(seeds.values())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, p, i, r) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, r in enumerate(runs(f"{h} {p}"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.int64() if j == 2 else pa.string()) for j in range(4)], ["host", "path", "at", "run"])
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted({r[i:j] for i in range(len(r)) for j in range(i + 1, min(len(r), i + LONGEST) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(own, pa.string())], ["rid", "w"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for r, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {x["w"]: x["n"] for x in pairs or []}
+                for w, n in seeds.items():
+                    if w in r:
+                        own[w] = own.get(w, 0) + n
+                words.append(" ".join(Segmenter(own, total=total)(r)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["run", "split"])
+
+    listed = stage(urls.select("host", "path").distinct().mapInArrow(cut, "host string, path string, at long, run string"), "runs")
+    letters = listed.filter(~F.col("run").rlike("^\\d")).select("run").distinct().select(F.xxhash64("run").alias("rid"), "run")
+    known = letters.mapInArrow(substrings, "rid long, w string").join(counts, "w").groupBy("rid").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    found = stage(letters.join(known, "rid", "left").select("run", "known").mapInArrow(split, "run string, split string"), "splits")
+    placed = listed.join(found, "run", "left").select("host", "path", F.struct("at", F.coalesce("split", "run").alias("words")).alias("one"))
+    return placed.groupBy("host", "path").agg(F.sort_array(F.collect_list("one")).alias("all")).select("host", "path", F.concat_ws(" ", F.col("all.words")).alias("words"))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", seed_weight: int = 1000) -> DataFrame:
@@ -137,28 +166,26 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     no words, and the class prior's verdict "allow". Repeated rows stay; an empty table gives an
     empty result.
     """
-    counts = unigrams(pages, html_col) if html_col else {}
+    spark = pages.sparkSession
+    counts = stage(unigrams(pages, html_col), "unigrams") if html_col else spark.createDataFrame([], "w string, n long")
     classes = {"block": [x.split() + COMMON for x in BLOCK_NAMES], "allow": [x.split() + COMMON for x in ALLOW_NAMES]}
-    for words in (w for texts in classes.values() for x in texts for w in x):
-        counts[words] = counts.get(words, 0) + seed_weight
-    counts = {w: n for w, n in counts.items() if len(w) > 1 or w in ("m", "a", "x")}
-    shared = pages.sparkSession.sparkContext.broadcast(counts)  # at most `most` words and those above
+    seeds: dict[str, int] = {}
+    for word in (w for texts in classes.values() for x in texts for w in x):
+        if len(word) > 1 or word in ("m", "a", "x"):
+            seeds[word] = seeds.get(word, 0) + seed_weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, bayes = Segmenter(shared.value), NaiveBayes(classes, {"block": 0.2, "allow": 0.8})
+        bayes = NaiveBayes(classes, {"block": 0.2, "allow": 0.8})
         for batch in batches:
-            words, odds = [], []
-            for host, path in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True):
-                found = [w for r in runs(f"{host} {path}") for w in (split(r) if r[0].isalpha() else (r,))]
-                words.append(" ".join(found))
-                odds.append(bayes(found))
+            odds = [bayes(words.split()) for words in batch["words"].to_pylist()]
             verdict = [v or ("block" if o > 0 else "allow") for v, o in zip(batch["ruled"].to_pylist(), odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], batch["rule"], pa.array(verdict, pa.string()), pa.array(odds, pa.float64()), pa.array(words, pa.string())], ["page_id", "host", "path", "rule", "verdict", "block_odds", "words"])
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], batch["rule"], pa.array(verdict, pa.string()), pa.array(odds, pa.float64()), batch["words"]], ["page_id", "host", "path", "rule", "verdict", "block_odds", "words"])
 
     host, path = url_parts(pages[url_col])
     parts = pages.select(pages[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    split = parts.join(segmented(parts, counts, seeds), ["host", "path"], "left")
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
-    return parts.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_odds double, words string")
+    return split.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), F.coalesce("words", F.lit("")).alias("words")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_odds double, words string")
 
 
 def op9_urls(spark, sf_dir: str) -> DataFrame:
