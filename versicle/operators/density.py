@@ -25,6 +25,14 @@ def page_map(sections: DataFrame) -> DataFrame:
     return each.groupBy("page").agg(F.min_by("section", "ord").alias("section"))
 
 
+def in_section(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """``rows`` with the ``section`` of their page, without those in none. One section may have a null
+    page_end: it holds the pages from its start on that no other section holds."""
+    endless = sections.filter("page_end IS NULL").orderBy("ord").limit(1).select(F.col("id").alias("__endless"), F.col("page_start").alias("__from"))
+    found = rows.join(F.broadcast(page_map(sections.filter("page_end IS NOT NULL"))), "page", "left").join(F.broadcast(endless), F.col("page") >= F.col("__from"), "left")
+    return found.withColumn("section", F.coalesce("section", "__endless")).drop("__endless", "__from").filter("section IS NOT NULL")
+
+
 def by_page(long: DataFrame) -> DataFrame:
     """page, dim, lines and mean density over the page's lines."""
     return long.groupBy("page", "dim").agg(F.count("*").alias("lines"), exact_mean(millionths(), F.count("*")).alias("mean_density"))
@@ -44,7 +52,7 @@ def peaks(ratios: DataFrame, top: int = 3) -> DataFrame:
 
 def by_section(long: DataFrame, sections: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """section, dim, lines, mean, exact median and sample deviation of line densities; zeros for a section without lines."""
-    found = long.join(F.broadcast(page_map(sections)), "page").groupBy("section", "dim").agg(F.count("*").alias("lines"), F.avg("density").alias("m"), F.median("density").alias("md"), F.stddev_samp("density").alias("s"))
+    found = in_section(long, sections).groupBy("section", "dim").agg(F.count("*").alias("lines"), F.avg("density").alias("m"), F.median("density").alias("md"), F.stddev_samp("density").alias("s"))
     spine = sections.select(F.col("id").alias("section"), F.explode(F.array(*map(F.lit, dims))).alias("dim"))
     zero = lambda c: F.round(F.coalesce(F.when(F.isnan(c), 0.0).otherwise(F.col(c)), F.lit(0.0)), 6)
     return spine.join(found, ["section", "dim"], "left").select("section", "dim", F.coalesce("lines", F.lit(0)).alias("lines"), zero("m").alias("mean"), zero("md").alias("median"), zero("s").alias("stdev"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import bucket, percent, rate
-from .density import page_map
+from .density import in_section
 from .lexicon import DIMENSIONS
 
 
@@ -29,7 +29,7 @@ def by_bucket(matches: DataFrame, size: int = 100) -> DataFrame:
 
 def by_section(matches: DataFrame, sections: DataFrame) -> DataFrame:
     """Counts by section; the page intervals are joined as a page map, an equi-join."""
-    return own(matches).join(F.broadcast(page_map(sections)), "page").groupBy("entity_id", "section").agg(F.count("*").alias("count"))
+    return in_section(own(matches), sections).groupBy("entity_id", "section").agg(F.count("*").alias("count"))
 
 
 def by_column(matches: DataFrame, column: str) -> DataFrame:

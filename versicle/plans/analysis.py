@@ -109,8 +109,8 @@ def evidence_tokens(spark, sf):
 def _tags(spark, sf):
     found = _scores(spark, sf).select("line_uid", "page", "author", "score_nirgun", "score_sagun_narrative")
     section = F.lit(None).cast("string")
-    for i, a, b in base.SECTIONS:
-        section = F.when(F.col("page").between(a, b), i).otherwise(section)
+    for i, a, b in base.PLACED:
+        section = F.when(F.col("page") >= a if b is None else F.col("page").between(a, b), i).otherwise(section)
     return found.select("*", scoring.primary_tag(F.col("score_nirgun"), F.col("score_sagun_narrative"), _BASE).alias("primary_tag"), section.alias("section"))
 
 
