@@ -229,8 +229,8 @@ def test_segmenter_equals_all_splits():
 
 
 def test_token_counts_equal_whole_encoding(spark, small):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(path)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     got = collections.defaultdict(dict)
     for r in tokencounts.count_tokens(small, path).collect():
@@ -246,19 +246,19 @@ def test_token_counts_equal_whole_encoding(spark, small):
 
 
 def test_token_count_edges(spark, edges, empty):
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = tokencounts.count_tokens(edges, path).collect()
     sums = collections.Counter()
     for r in got:
         sums[r.doc_id, r.doc_tokens] += r.n_tokens
     assert {r.doc_id for r in got} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, None} and tokencounts.count_tokens(empty, path).count() == 0
     assert all(r.section == -1 and r.n_tokens == 0 for r in got if r.doc_id in (3, 4))
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
-    cache, rng = tokencounts.OffsetCache(tokenizer), random.Random(9)
+    encoder, rng = tokencounts.Encoder(path), random.Random(9)
     for _ in range(500):
         t = "".join(rng.choice("ab é☃😀\n\t '1s<|endoftext|>ll don't") for _ in range(rng.randint(0, 30)))
-        assert tokencounts.token_spans(t, cache).tolist() == [list(x) for x in tokenizer.encode(t, add_special_tokens=False).offsets]
+        assert encoder.spans(t).tolist() == [list(x) for x in tokenizer.encode(t, add_special_tokens=False).offsets]
     spans, starts, ends = np.array([[0, 3], [2, 9], [9, 10]]), np.array([0, 4]), np.array([4, 9])
     for rule, want in (("majority", [0, 1, 1]), ("first", [0, 0, 1]), ("last", [0, 1, 1])):
         assert tokencounts.attribute(spans, starts, ends, rule)[0].tolist() == want

@@ -2,52 +2,46 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens of the byte-level vocabularies (a fixed value: the published pattern of that family).
-BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LINE = re.compile(r"[^\n]+")
 RULES = ("majority", "first", "last")
 
 
-class OffsetCache(dict):
-    """pre-token -> (number of ids, their character starts and ends within it, as bytes)."""
+class Encoder:
+    """A byte-level vocabulary from its file of ranks (a token in base 64 and its id on each line)."""
 
-    def __init__(self, tokenizer, most: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self, ranks_path: str, pattern: str = BYTE_LEVEL):
+        import tiktoken
 
-    def __missing__(self, part: str) -> tuple[int, bytes]:
-        spans = np.array(self.tokenizer.encode(part, add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
-        value = len(spans), spans.tobytes()
-        if len(part) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = value
-        return value
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
 
-
-def token_spans(text: str, cache: OffsetCache) -> np.ndarray:
-    """(n, 2) character spans of the ids of a whole text, in order.
-
-    The vocabulary never joins pre-tokens, so a document's ids are those of its pre-tokens; their
-    offsets are moved to the pre-token's place.
-    """
-    parts = BYTE_LEVEL.findall(text)
-    if not parts:
-        return np.empty((0, 2), np.int64)
-    found = list(map(cache.__getitem__, parts))
-    counts = np.fromiter((n for n, _ in found), np.int64, len(found))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    spans = np.frombuffer(b"".join([s for _, s in found]), np.int32).reshape(-1, 2)
-    return spans + np.repeat(np.cumsum(sizes) - sizes, counts)[:, None]
+    def spans(self, text: str) -> np.ndarray:
+        """(n, 2) character spans of the ids of a whole text, in order; a token with part of a character spans all of it."""
+        if not text:
+            return np.empty((0, 2), np.int64)
+        sizes = self.sizes[self.encoding.encode_to_numpy(text, disallowed_special=())]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        raw = text.encode()
+        if len(raw) > len(text):
+            character = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # the number of characters begun up to each byte
+            starts, ends = character[starts] - 1, character[ends - 1]
+        return np.stack([starts, ends], axis=1)
 
 
 def attribute(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +76,7 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return spans[:, 0], spans[:, 1]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, rule: str = "majority", id_col: str = "doc_id", text_col: str = "text", sections_col: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority", id_col: str = "doc_id", text_col: str = "text", sections_col: str | None = None, pattern: str = BYTE_LEVEL) -> DataFrame:
     """(doc_id, section, start, end, n_tokens, n_crossing, doc_tokens) for every section of every document.
 
     Each whole text is encoded once with a byte-level vocabulary; the tokens' character spans are
@@ -98,35 +92,34 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, rule: str = "majority", i
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        cache = OffsetCache(tokenizer)
+        encoder = Encoder(ranks_path, pattern)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            ids, held, out = [], 0, []
             given = batch.column(2).to_pylist() if sections_col else None
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                spans = token_spans(text or "", cache)
+                spans = encoder.spans(text)
                 if given:
                     own = np.array([(s["start"], s["end"]) for s in given[i] or [] if s], np.int64).reshape(-1, 2)
                     starts, ends = own[:, 0], own[:, 1]
                 else:
-                    starts, ends = line_sections(text or "")
+                    starts, ends = line_sections(text)
                 section, crossing = attribute(spans, starts, ends, rule)
-                n = len(starts)
-                if not n:
-                    starts, ends = np.zeros(1, np.int64), np.array([len(text or "")])
-                counts = [np.bincount(np.maximum(x, 0), minlength=max(n, 1)) for x in (section, section[crossing])]
-                for column, values in zip(out, ([doc_id] * max(n, 1), range(n) if n else [-1], starts, ends, *counts, [len(spans)] * max(n, 1)), strict=True):
-                    column.extend(values)
-                if len(out[0]) > 200_000:
-                    yield table(out)
-                    out = [[] for _ in range(7)]
-            yield table(out)
-
-    def table(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], [x.split()[0] for x in SCHEMA.split(", ")])
+                number = np.arange(len(starts)) if len(starts) else np.array([-1])
+                if not len(starts):
+                    starts, ends = np.zeros(1, np.int64), np.array([len(text)])
+                counts = [np.bincount(np.maximum(x, 0), minlength=len(number)) for x in (section, section[crossing])]
+                out.append((number, starts, ends, *counts, np.full(len(number), len(spans))))
+                ids += [doc_id] * len(number)
+                held += len(number)
+                if held > 200_000:
+                    yield table(ids, out)
+                    ids, held, out = [], 0, []
+            if out:
+                yield table(ids, out)
+
+    def table(ids: list, out: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
     columns = [docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")]
     if sections_col:
@@ -140,7 +133,7 @@ SCHEMA = "doc_id long, section long, start long, end long, n_tokens long, n_cros
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {"op10_tokens": op10_tokens}
