@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
+from math import comb
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,8 @@ from ._util import id_text, raw_bytes, shuffle_partitions, stage
 from .components import connected_components
 
 BYTES = 8
+#: A list of more fingerprints is dealt again by one more byte.
+LIST = 1 << 20
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -46,31 +51,70 @@ def simhash(text: bytes, k: int) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the SimHash as a signed long. Null, empty and blank texts have fp 0."""
+    """(doc_id, own, fp): fp is the SimHash as a signed long. Null, empty and blank texts have fp 0.
+
+    own is null but for null ids, whose rows it tells apart by their text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(x, k) for x in raw_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "own", "fp"])
+
+    return id_text(docs, id_col, text_col).withColumn("own", own_hash()).mapInArrow(run, "doc_id long, own long, fp long")
+
+
+def own_hash(id_: str = "doc_id", text: str = "text") -> F.Column:
+    """Hash of the text where the id is null, else null."""
+    return F.when(F.col(id_).isNull(), F.xxhash64(F.coalesce(text, F.lit(""))))
+
+
+def blocks(distance: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions, one of which is whole in any two fingerprints that differ in ``distance`` bytes or fewer.
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    For three bytes these are the 14 sets of four positions whose numbers add up to nothing without
+    carry: any three positions lie in one of them, and the four others are such a set too.
+    """
+    if distance == 3:
+        return [x for x in combinations(range(BYTES), 4) if not reduce(xor, x)]
+    return list(combinations(range(BYTES), BYTES - distance))
 
 
-def _postings(fps: DataFrame, matches: int) -> DataFrame:
-    """(key, fp): one posting for each choice of ``matches`` byte positions and the bytes there.
+def _postings(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, key): the positional index, its lists intersected by ``blocks``: a posting for each block and the bytes there.
 
-    Two fingerprints share at least ``matches`` positional bytes if and only if they meet in one of
-    these lists: it is the positional index with the lists intersected ``matches`` at a time, so that
-    no list is longer than 256 ** (8 - matches).
+    A list of over LIST fingerprints is dealt again, once for each position outside its block and
+    the byte there: as at most ``distance`` of these differ, no pair is lost.
     """
     parts = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(BYTES)]
     keys = []
-    for number, chosen in enumerate(combinations(range(BYTES), matches)):
+    for number, chosen in enumerate(blocks(distance)):
         key = F.lit(number).cast("long")
         for i in chosen:
             key = F.shiftleft(key, 8).bitwiseOR(parts[i])
-        keys.append(key)
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+        again = F.array(*(F.xxhash64(key, F.lit(i), parts[i]) for i in range(BYTES) if i not in chosen))
+        keys.append(F.struct(key.alias("key"), F.lit(number).alias("block"), again.alias("again")))
+    listed = fps.select("fp", F.inline(F.array(*keys)))
+    if distance > BYTES - max(map(len, blocks(distance))) - 1:  # no further position is sure to be equal
+        return listed.select("fp", "key")
+    long = listed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST)
+    listed = listed.join(F.broadcast(long), "key", "left")  # at most one key for LIST postings
+    return listed.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(F.col("again"))).alias("key"))
+
+
+def tally(x: np.ndarray) -> np.ndarray:
+    """Number of positions at which two fingerprints have equal bytes, from their exclusive or."""
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return BYTES - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def close(x: np.ndarray, distance: int) -> np.ndarray:
+    """Which exclusive ors are of pairs that share BYTES - distance positional bytes, the least that is guaranteed, and then differ in ``distance`` bits or fewer."""
+    kept = tally(x) >= BYTES - distance
+    kept[kept] = np.bitwise_count(x[kept]) <= distance
+    return kept
 
 
 def _near(fps: np.ndarray, distance: int) -> np.ndarray:
@@ -78,14 +122,13 @@ def _near(fps: np.ndarray, distance: int) -> np.ndarray:
     label = np.arange(len(fps))
     bits = np.bitwise_or.reduce(fps ^ fps[0])
     free = [np.uint64(1 << i) for i in range(64) if int(bits) >> i & 1]
-    flips = sum(1 for r in range(1, distance + 1) for _ in combinations(free, r))
-    if len(fps) <= max(2048, flips):  # comparing with every other costs less than trying every flip
-        def neighbours() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    flips = sum(comb(len(free), r) for r in range(1, distance + 1))
+    if len(fps) <= max(2048, flips):  # tallying with every other costs less than looking up every flip
+        def neighbours() -> Iterator[tuple[slice, np.ndarray]]:
             for i in range(0, len(fps), 256):
-                close = np.bitwise_count(fps[i : i + 256, None] ^ fps[None, :]) <= distance
-                yield slice(i, i + 256), np.where(close, label[None, :], len(fps)).min(axis=1)
+                yield slice(i, i + 256), np.where(close(fps[i : i + 256, None] ^ fps[None, :], distance), label[None, :], len(fps)).min(axis=1)
     else:
-        def neighbours() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def neighbours() -> Iterator[tuple[slice, np.ndarray]]:
             for r in range(1, distance + 1):
                 for chosen in combinations(free, r):
                     want = fps ^ np.bitwise_or.reduce(np.array(chosen, np.uint64))
@@ -103,13 +146,13 @@ def _near(fps: np.ndarray, distance: int) -> np.ndarray:
 def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b) over distinct fingerprints: a spanning forest of all pairs at ``distance`` bits or fewer.
 
-    Such a pair differs in at most ``distance`` bytes, so it shares 8 - distance positional bytes:
-    the tally that count filtering asks for. A list is streamed from a sorted partition, verified
-    by bit count, and gives fewer links than it has members.
+    Such a pair differs in at most ``distance`` bytes, so it meets in a list (see ``blocks``). Pairs
+    that meet are tallied over all positional bytes; those that share 8 - distance, which is
+    guaranteed, are verified by bit count. Lists are streamed from sorted partitions; each gives
+    fewer links than it has members.
     """
-    matches = BYTES - distance
-    lists = _postings(fps, matches)
-    dealt = lists.repartition(4 * shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
+    n = 4 * shuffle_partitions(fps.sparkSession)
+    dealt = _postings(fps.repartition(n), distance).repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -127,7 +170,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
-        two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= distance]
+        two = two[close((fp[two] ^ fp[two + 1]).view(np.uint64), distance)]
         a, b = [fp[two]], [fp[two + 1]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             own = np.sort(fp[s : s + n].view(np.uint64))
@@ -149,12 +192,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str
     fingerprint zero and link like any other; repeated rows share their component; an empty table
     gives an empty result; a component of null ids alone has a null component_id.
     """
+    return grouped(docs, k, distance, id_col, text_col).drop("own")
+
+
+def grouped(docs: DataFrame, k: int, distance: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with own (see ``fingerprints``)."""
     table = stage(fingerprints(docs, k, id_col, text_col), "fingerprints")
     nodes = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return table.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return table.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "own", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,16 +211,16 @@ def one_of_each(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "d
     Repeated rows of the kept id count as copies too. Rows with a null id go if their group has
     another id; of groups with null ids alone one row of each distinct text stays.
     """
-    return kept_of(docs, near_duplicates(docs, k, distance, id_col, text_col), id_col, text_col)
+    return kept_of(docs, grouped(docs, k, distance, id_col, text_col), id_col, text_col)
 
 
 def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that stay of the groups in ``found`` (component_id), as in ``one_of_each``."""
-    keep = found.select(F.col("component_id").alias("__kept")).distinct()
-    key = docs[id_col].cast("long")
-    found = docs.join(keep, key.eqNullSafe(keep["__kept"]), "left_semi")
-    own = F.when(key.isNull(), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    return found.select(*docs.columns, key.alias("__id"), own.alias("__own")).dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    """The rows of ``docs`` that stay of the groups in ``found`` (doc_id, own, component_id), as in ``one_of_each``."""
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("own").alias("__of")).distinct()
+    rows = docs.select(*docs.columns, docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"))
+    rows = rows.withColumn("__own", own_hash("__id", "__text")).drop("__text")
+    rows = rows.join(keep, F.col("__id").eqNullSafe(F.col("__kept")) & F.col("__own").eqNullSafe(F.col("__of")), "left_semi")
+    return rows.dropDuplicates(["__id", "__own"]).select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
