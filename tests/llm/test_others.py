@@ -131,6 +131,39 @@ def test_toxicity_edges(spark, edges, empty):
     assert kept.columns == edges.columns and kept.count() == edges.count()
 
 
+def test_terms_equal_plain_counts(spark):
+    """Learned terms are those of a plain count over the folds, with no bound on a text's length."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, i % 4, int(i % 3 == 0), " ".join([*rng.choices(vocabulary, k=20), *(["vexatious!"] if i % 3 == 0 else [])]) + " pad" * (300_000 if i == 0 else 0)) for i in range(60)]
+    sample = spark.createDataFrame(rows, "doc_id long, fold int, y int, text string")
+    sizes = collections.Counter((f, y) for _, f, y, _ in rows)
+    counts = toxicity.unit_counts(sample)
+    for folds in ([0, 1, 2, 3], [1, 3]):
+        bags = [(y, {u for w in toxicity.words_of(t) for u in toxicity.units(w.strip("!"))}) for _, f, y, t in rows if f in folds]
+        n1, n0 = sum(y for y, _ in bags) + 1, sum(1 - y for y, _ in bags) + 1
+        want = {}
+        for u in set().union(*(b for _, b in bags)):
+            c1, c0 = sum(y for y, b in bags if u in b), sum(1 - y for y, b in bags if u in b)
+            odds = np.log((c1 + 0.5) / n1 * n0 / (c0 + 0.5))
+            if c1 >= toxicity.LEARNED_LEAST and odds > 2:
+                want[u] = min(odds, 9.0)
+        got = toxicity.learn_terms(counts, sizes, folds)
+        assert want and got == pytest.approx(want)
+
+
+def test_long_and_orphaned_labels(spark, monkeypatch):
+    """Labels without a document take no place among the rows; an over-long labelled text is learned from."""
+    docs = spark.createDataFrame([(i, ("vexatious " if i % 2 else "pleasant ") * (60_000 if i == 1 else 3)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 0) for i in range(1000, 3000)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, x, y, fold, terms: seen.append((x, y, terms)) or self)
+    toxicity.fit(docs, labels, rows=100)
+    (x, y, terms), = seen
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(y) == len(kept) and y.tolist() == [i % 2 for i in kept] and "vexatious" in terms and x[:, 0].max() > np.log(60_000)
+
+
 def test_isotonic_rises():
     at, rate = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5, 6]), np.array([0.0, 1, 0, 0, 1, 1]))
     assert (np.diff(rate) >= 0).all() and (np.diff(at) > 0).all()

@@ -7,16 +7,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
-from sys import intern
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows to fit on: so many at most, none of over so many characters.
-FIT_ROWS, FIT_CHARS = 4000, 200_000
+from ._util import stage
+
+#: Labelled rows to fit on, at most; parts they are dealt to, so that a row is scored by terms and trees of the others.
+FIT_ROWS, FOLDS = 4000, 4
 #: Terms to learn from them: so many at most, each in so many toxic rows at least.
 LEARNED_TERMS, LEARNED_LEAST = 3000, 3
 
@@ -108,24 +110,30 @@ def features(text: str, facts: WordFacts) -> np.ndarray:
     )
 
 
-def learn_terms(bags: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Units with the highest smoothed log odds of being in a toxic row, with those odds."""
-    with_, without = Counter(), Counter()
-    for bag, y in zip(bags, toxic, strict=True):
-        if y:
-            with_.update({u for w in bag for u in units(w)})
-    with_ = {u: c for u, c in with_.items() if c >= LEARNED_LEAST}
-    of: dict[str, tuple[str, ...]] = {}
-    for bag, y in zip(bags, toxic, strict=True):
-        if not y:
-            for w in bag:
-                if w not in of:
-                    of[w] = tuple(u for u in units(w) if u in with_)
-            without.update({u for w in bag for u in of[w]})
-    n1, n0 = toxic.sum() + 1.0, (1 - toxic).sum() + 1.0
-    odds = {u: float(np.log((c + 0.5) / n1 * n0 / (without[u] + 0.5))) for u, c in with_.items()}
-    best = sorted((u for u in odds if odds[u] > 2.0), key=lambda u: (-odds[u] * min(with_[u], 20), u))[:LEARNED_TERMS]
-    return {u: min(odds[u], 9.0) for u in best}
+def unit_counts(sample: DataFrame) -> DataFrame:
+    """(unit, with, without): in how many toxic and other rows of each fold a unit occurs, as arrays by fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for fold, y, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = {w.strip("!") for w in words_of(text)}
+                found.update((2 * fold + y, u) for u in {u for w in words for u in units(w)})
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([u for _, u in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "unit", "n"])
+
+    each = sample.select("fold", "y", "text").mapInArrow(run, "kind int, unit string, n long")
+    own = lambda y: F.array(*(F.coalesce(F.sum(F.when(F.col("kind") == 2 * f + y, F.col("n"))), F.lit(0)) for f in range(FOLDS)))
+    return each.groupBy("unit").agg(own(1).alias("with"), own(0).alias("without"))
+
+
+def learn_terms(counts: DataFrame, sizes: dict[tuple[int, int], int], folds: list[int]) -> dict[str, float]:
+    """Units with the highest smoothed log odds of being in a toxic row of the given folds, with those odds: LEARNED_TERMS at most."""
+    n1, n0 = (sum(sizes.get((f, y), 0) for f in folds) + 1.0 for y in (1, 0))
+    c1, c0 = (sum((F.col(c)[f] for f in folds), F.lit(0)) for c in ("with", "without"))
+    found = counts.select("unit", c1.alias("c1"), c0.alias("c0")).filter(F.col("c1") >= LEARNED_LEAST)
+    found = found.withColumn("odds", F.ln((F.col("c1") + 0.5) / n1 * n0 / (F.col("c0") + 0.5))).filter("odds > 2.0")
+    best = found.orderBy(F.desc(F.col("odds") * F.least("c1", F.lit(20))), "unit").limit(LEARNED_TERMS)
+    return {r["unit"]: min(r["odds"], 9.0) for r in best.select("unit", "odds").collect()}
 
 
 class Boosted:
@@ -202,29 +210,21 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Learned terms, trees and calibration; ``fit`` takes texts and 0/1 labels and uses nothing else."""
+    """Learned terms, trees and calibration."""
 
     def __init__(self):
         self.terms: dict[str, float] = {}
         self.trees: Boosted | None = None
         self.knots = (np.zeros(1), np.zeros(1))
 
-    def fit(self, texts: list[str], labels: list[int], folds: int = 4) -> Model:
-        y = np.array(labels, np.float64)
-        bags = [{intern(w) for w in {w.strip("!") for w in words_of(t)}} for t in texts]
-        fold = np.arange(len(y)) % folds
-        x = np.zeros((len(y), len(FEATURES)), np.float32)
-        for k in range(folds):  # a row's terms are learned from the other rows, as they will be for new ones
-            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            facts = WordFacts(learn_terms([bags[i] for i in rest], y[rest]))
-            for i in own:
-                x[i] = features(texts[i], facts)
+    def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, terms: dict[str, float]) -> Model:
+        """From FEATURES, 0/1 labels and folds of the rows; calibrated on scores by trees of the other folds."""
         out = np.zeros(len(y))
-        for k in range(folds):
+        for k in np.unique(fold):
             rest, own = fold != k, fold == k
-            if own.any() and rest.any():
+            if rest.any():
                 out[own] = Boosted().fit(x[rest], y[rest])(x[own])
-        self.terms, self.trees, self.knots = learn_terms(bags, y), Boosted().fit(x, y), isotonic(out, y)
+        self.terms, self.trees, self.knots = terms, Boosted().fit(x, y), isotonic(out, y)
         return self
 
     def __call__(self, texts: list[str], facts: WordFacts) -> np.ndarray:
@@ -241,21 +241,35 @@ def held_out(id_column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """A model of the labelled rows that are not held out: of all of them, or of ``rows`` in hash order.
+    """A model of the labelled documents that are not held out: of all of them, or of ``rows`` in hash order.
 
-    Null labels and ids are left out; a document labelled twice counts as toxic if either label says
-    so. Without labels of both kinds the model scores every text 0.
+    Null labels and ids and labels without a document are left out before the rows are chosen; a
+    document labelled twice counts as toxic if either label says so, and of several texts under one
+    id the least counts. Without labels of both kinds the model scores every text 0. Whole texts of
+    any length are read in tasks; what reaches the driver are terms and FEATURES.
     """
     key = labels[id_col].cast("long")
     known = labels.filter(key.isNotNull() & labels[label_col].isNotNull() & ~held_out(key)).groupBy(key.alias("doc_id")).agg(F.max(labels[label_col].cast("int")).alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
-    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").toPandas()  # at most `rows` labels
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    model = Model()
-    if found["y"].nunique() == 2:
-        model.fit([x or "" for x in found["text"]], found["y"].tolist())
-    return model
+    ids = docs.select(docs[id_col].cast("long").alias("doc_id"))
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `rows` labels are sent
+    sample = stage(found.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.col("y").cast("int").alias("y"), "text").repartition(4 * FOLDS), "labelled")
+    sizes = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    if len({y for _, y in sizes}) < 2:
+        return Model()
+    counts = stage(unit_counts(sample), "units")
+    terms = [learn_terms(counts, sizes, [f for f in range(FOLDS) if f != k]) for k in range(FOLDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = [WordFacts(t) for t in terms]  # a row's terms are learned from the other rows, as they will be for new ones
+        for batch in batches:
+            own = [features(t, facts[k]).tolist() for k, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.float32()))], ["doc_id", "fold", "y", "x"])
+
+    made = sample.mapInArrow(run, "doc_id long, fold int, y int, x array<float>").orderBy("doc_id").collect()  # FEATURES of at most `rows` rows
+    x, y, fold = (np.array([r[c] for r in made], t) for c, t in (("x", np.float32), ("y", np.float64), ("fold", np.int64)))
+    return Model().fit(x, y, fold, learn_terms(counts, sizes, list(range(FOLDS))))
 
 
 def scorer(spark: SparkSession, model: Model):
