@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from versicle.llm import decontaminate as D
 
@@ -8,29 +7,55 @@ def words(n, start=0):
     return [f"w{start + i}" for i in range(n)]
 
 
-def found(doc, item):
-    cache = D.HashCache()
-    return D.SeedIndex([(1, " ".join(item).encode())]).overlaps(D.word_hashes(" ".join(doc).encode(), cache))
+def found(spark, pairs):
+    """For each (document, item), the overlaps of the document with its own item."""
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, (d, _) in enumerate(pairs)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(x)) for i, (_, x) in enumerate(pairs)], "item_id long, text string")
+    rows = D.overlaps(docs, items).filter("doc_id = item_id").collect()
+    return [[(r.doc_start, r.item_start, r.n_words, r.n_equal) for r in rows if r.doc_id == i] for i in range(len(pairs))]
 
 
-@pytest.mark.parametrize(("n", "a", "b"), [(56, 8, 48), (200, 20, 170), (40, 5, 18)])
-def test_part_of_a_long_item(n, a, b):
-    item = words(n)
-    assert found(words(30, 1000) + item[a:b] + words(30, 2000), item) == [(0, 30, a, b - a, b - a)]
-    assert found(words(30, 1000) + item[a : a + 10] + words(30, 2000), item) == []
+def test_part_of_a_long_item(spark):
+    pairs, want = [], []
+    for n, a, b in ((56, 8, 48), (200, 20, 170), (40, 5, 18)):
+        item = words(n)
+        pairs += [(words(30, 1000) + item[a:b] + words(30, 2000), item), (words(30, 1000) + item[a : a + 10] + words(30, 2000), item)]
+        want += [[(30, a, b - a, b - a)], []]
+    assert found(spark, pairs) == want
 
 
-def test_many_substitutions():
+def test_substitutions_insertions_and_losses(spark):
     item = words(26)
-    doc = [f"x{i}" if i in (3, 8, 15, 17, 19, 21, 23) else w for i, w in enumerate(item)]  # 19 of 26
-    assert found(words(9, 900) + doc + words(9, 800), item)
+    pairs = [(words(9, 900) + [f"x{i}" if i in (3, 8, 15, 17, 19, 21, 23) else w for i, w in enumerate(item)] + words(9, 800), item)]  # 19 of 26
+    want = []
+    for n in (12, 20, 25):
+        item, half = words(n), n // 2
+        pairs.append((words(30, 1000) + item[:half] + ["new"] + item[half:] + words(30, 2000), item))
+        pairs.append((words(30, 1000) + item[:half] + item[half + 1 :] + words(30, 2000), item))
+        want += [[(30, 0, n + 1, n)], [(30, 0, n, n - 1)]]
+    got = found(spark, pairs)
+    assert got[0] and got[1:] == want
 
 
-@pytest.mark.parametrize("n", [12, 20, 25])
-def test_inserted_and_lost_words(n):
-    item, half = words(n), n // 2
-    assert found(words(30, 1000) + item[:half] + ["new"] + item[half:] + words(30, 2000), item) == [(0, 30, 0, n + 1, n)]
-    assert found(words(30, 1000) + item[:half] + item[half + 1 :] + words(30, 2000), item) == [(0, 30, 0, n, n - 1)]
+def test_middle_word_of_short_items(spark):
+    """Items of 8 to 12 words, each with any one word changed where the share allows it."""
+    pairs, want = [], []
+    for n in range(8, 13):
+        for i in range(n):
+            item = words(n)
+            pairs.append((words(9, 900) + item[:i] + ["changed"] + item[i + 1 :] + words(9, 800), item))
+            want.append(n - 1 >= max(D.LEAST_WORDS, D.LEAST_SHARE * n))
+    assert [bool(x) for x in found(spark, pairs)] == want
+
+
+def test_filter_lets_every_seed_through(spark, monkeypatch):
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    frame = spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)], "hash long")
+    others = D.mix64(hashes)
+    asked = D.seed_filter(frame, 3000)
+    assert len(asked(hashes)) == 3000 and len(asked(others)) < 10
+    monkeypatch.setattr(D, "FILTER_BITS", (1 << 10, 1 << 10))  # as with too many seeds: lets much through, loses none
+    assert len(D.seed_filter(frame, 3000)(hashes)) == 3000
 
 
 def fewest(masks, most):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,11 @@ MASKS = ("111011", "11001011", "11111")
 WINDOW, LEAST_WORDS, LEAST_SHARE = 13, 8, 0.8
 #: Diagonals so near each other are joined: one place with words inserted or lost.
 SHIFT = 3
-#: The benchmark's seed index is sent to every task up to this many seeds; beyond, seeds are joined by shuffle.
-BROADCAST_SEEDS = 4_000_000
+#: The seeds and words of a benchmark of up to this many seeds are sent to every task of the joins; those of a larger one are shuffled.
+BROADCAST_SEEDS = 1_000_000
+#: Bits of the filter of seeds that the scan of the documents asks first: 64 for a seed, within these bounds.
+#: With many more seeds it lets more through, and the join does the rest.
+FILTER_BITS, PROBES = (1 << 16, 1 << 27), 4
 
 PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
 
@@ -123,90 +127,182 @@ def verify_joined(doc: np.ndarray, item: np.ndarray, at: int, then: int) -> tupl
     return start + (at if found[0] < cut else then), start, *found[1:]
 
 
-class SeedIndex:
-    """The benchmark's seeds, sorted, with a bit table in front that most absent hashes miss."""
+def short_seeds(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of ``n`` words."""
+    rolled = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for i in range(n):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(rolled)]
+    return mix64(rolled)
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        cache = HashCache()
-        self.ids = [i for i, _ in items]
-        self.words = [word_hashes(t, cache) for _, t in items]
-        keys, item, at = [], [], []
-        for k, words in enumerate(self.words):
-            if len(words):
-                h, p = all_seeds(words)
-                keys.append(h)
-                item.append(np.full(len(h), k))
-                at.append(p)
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.item, self.at = (np.concatenate(x)[order] if x else np.empty(0, np.int64) for x in (item, at))
-        self.bits = max(16, int(len(self.keys) * 16).bit_length())
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < LEAST_WORDS})
-
-    def overlaps(self, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item number, doc start, item start, words, equal words): the best overlap with each item met."""
-        keys, at = all_seeds(doc) if len(doc) >= LEAST_WORDS else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        for n in self.short:  # items of fewer words: whole, at any place
-            rolled = np.zeros(max(0, len(doc) - n + 1), np.uint64)
-            for i in range(n):
-                rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + doc[i : i + len(rolled)]
-            keys, at = np.concatenate([keys, mix64(rolled)]), np.concatenate([at, np.arange(len(rolled))])
-        hit = np.flatnonzero(self.table[(keys >> np.uint64(64 - self.bits)).astype(np.int64)])
-        if not len(hit):
-            return []
-        lo, hi = (np.searchsorted(self.keys, keys[hit], side=s) for s in ("left", "right"))
-        diagonals = {(int(self.item[j]), int(at[h] - self.at[j])) for h, x, y in zip(hit, lo, hi, strict=True) for j in range(x, y)}
-        best: dict[int, tuple] = {}
-        joined = [(k, d, d + x) for k, d in diagonals for x in range(-SHIFT, SHIFT + 1) if x and (k, d + x) in diagonals]
-        for k, d, *then in sorted([*diagonals, *joined]):
-            found = verify_joined(doc, self.words[k], d, *then) if then else verify(doc, self.words[k], d)
-            if found and (k not in best or found[3] > best[k][3]):
-                best[k] = found
-        return [(k, *v) for k, v in best.items()]
+
+class SeedFilter:
+    """A Bloom filter of hashes; what it lets through may still be no seed."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.shift, self.table = np.uint64(64 - (bits.bit_length() - 1)), table
+
+    @staticmethod
+    def places(hashes: np.ndarray, shift: np.uint64, probe: int) -> np.ndarray:
+        return (hashes if not probe else mix64(hashes + np.uint64(probe))) >> shift
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Indices of the hashes that may be seeds."""
+        kept = np.arange(len(hashes))
+        for probe in range(PROBES):
+            at = self.places(hashes[kept], self.shift, probe)
+            kept = kept[self.table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) > 0]
+        return kept
+
+
+def seed_filter(seeds_: DataFrame, n: int) -> SeedFilter:
+    bits = min(max(FILTER_BITS[0], 1 << (64 * n).bit_length()), FILTER_BITS[1])
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([SeedFilter.places(hashes, shift, i) for i in range(PROBES)]))
+            word = (at >> np.uint64(6)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(first) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    found = seeds_.select("hash").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(bits >> 6, np.uint64)
+    table[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return SeedFilter(bits, table)
+
+
+def compare(doc: np.ndarray, base: int, item: np.ndarray, at: int, thens: list[int]) -> tuple[int, int, int, int] | None:
+    """The best overlap of an item along the diagonal ``at``, alone or joined with one of ``thens``, as ``verify`` gives it.
+
+    ``doc`` is the part of the document from its word ``base`` on that faces the item there.
+    """
+    best = verify(doc, item, at - base)
+    for then in thens:
+        found = verify_joined(doc, item, at - base, then - base)
+        if found and (not best or found[3] > best[3]):
+            best = found
+    return best and (best[0] + base, *best[1:])
 
 
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, item_words long"
 
 
+def words_of_items(items: DataFrame) -> DataFrame:
+    """(item, item_id, n, words): each item's word hashes, eight bytes each; those without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for batch in batches:
+            words = [word_hashes(x, cache) for x in raw_bytes(batch.column(2))]
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "n", "words"])
+            yield found.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
+
+    return items.mapInArrow(run, "item long, item_id long, n long, words binary")
+
+
+def seeds_of_items(words: DataFrame) -> DataFrame:
+    """(hash, item, at, n): every seed of every item, the word where it begins, and the item's number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                hashes, at = all_seeds(np.frombuffer(raw, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), item)), pa.array(at), pa.array(np.full(len(at), n))], ["hash", "item", "at", "n"])
+
+    return words.mapInArrow(run, "hash long, item long, at long, n long")
+
+
+def suspects(docs: DataFrame, filter_: SeedFilter, short: list[int]) -> DataFrame:
+    """(row, doc_id, words, hits): the documents of which a seed passes the filter, with those seeds (hash, at)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)  # FILTER_BITS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, cache, row = shared.value, HashCache(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
+                row += 1
+                words = word_hashes(text, cache)
+                found = [all_seeds(words)] if len(words) >= LEAST_WORDS else []
+                found += [(h, np.arange(len(h))) for h in (short_seeds(words, n) for n in short)]
+                hashes, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64),) * 2
+                kept = asked(hashes)
+                if len(kept):
+                    out.append((row, doc_id, words.tobytes(), [{"hash": h, "at": a} for h, a in zip(hashes[kept].view(np.int64).tolist(), at[kept].tolist(), strict=True)]))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "doc_id", "words", "hits"])
+
+    return docs.mapInArrow(run, "row long, doc_id long, words binary, hits array<struct<hash:long,at:long>>")
+
+
+def facing(asked: DataFrame) -> DataFrame:
+    """(row, doc_id, item, at, thens, base, part): of (row, doc_id, words, asks), for each diagonal the document's words
+    that face the item, and the other diagonals at most SHIFT away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, doc_id, words, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for ask in asks:
+                    diagonals = set(ask["diagonals"])
+                    for at in sorted(diagonals):
+                        a = max(0, at - SHIFT)
+                        thens = [at + x for x in range(-SHIFT, SHIFT + 1) if x and at + x in diagonals]
+                        out.append((row, doc_id, ask["item"], at, thens, a, words[8 * a : 8 * max(a, at + ask["n"] + SHIFT)]))
+                    if len(out) > 10_000:
+                        yield table(out)
+                        out = []
+            if out:
+                yield table(out)
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "doc_id", "item", "at", "thens", "base", "part"])
+
+    return asked.mapInArrow(run, "row long, doc_id long, item long, at long, thens array<long>, base long, part binary")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that overlap: the best verified alignment, in words.
 
     Texts are words (A-Z lower-cased, ASCII punctuation dropped). A pair meets if it shares a seed:
-    for one of MASKS, the words at the mask's ones agree; verification compares word by word along
-    the hit's diagonal (see ``accepted``), and along two hit diagonals at most SHIFT apart. With
-    insertions or losses at several places, only what two diagonals or one accept is found. Null and empty texts on either side match nothing; repeated
+    for one of MASKS, the words at the mask's ones agree. The tables of both sides' seed hashes are
+    joined; a filter of the benchmark's seeds keeps others of the documents' out of the join.
+    Verification compares word by word along the hit's diagonal (see ``accepted``), and along two
+    hit diagonals at most SHIFT apart; with insertions or losses at several places, only what two
+    diagonals or one accept is found. Null and empty texts on either side match nothing; repeated
     documents each give rows; items are matched once per distinct text and id. Whole documents are
-    scanned. The seed index is broadcast while the benchmark has at most BROADCAST_SEEDS seeds,
-    counted first; a larger benchmark is split by item into parts of that size, so that no task
-    ever holds more, and the documents are scanned once per part.
+    scanned, once, whatever the benchmark's size.
     """
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) > 0).distinct()
-    seeds_in = F.size(F.split(F.col("text"), " ")) * len(MASKS)
-    total = items.agg(F.sum(seeds_in)).first()[0] or 0
-    parts = -(-total // BROADCAST_SEEDS) or 1
-    source = id_text(docs, id_col, text_col)
-    found = None
-    for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        one = _scan(source, [(r["item_id"], r["text"].encode()) for r in mine.orderBy("item_id", "text").collect()])
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _scan(source: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(items)  # at most BROADCAST_SEEDS seeds
+    words = stage(words_of_items(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")), "items")
+    short = sorted(r["n"] for r in words.filter(F.col("n") < LEAST_WORDS).select("n").distinct().collect())  # fewer than LEAST_WORDS rows
+    seeds_ = stage(seeds_of_items(words), "seeds")
+    n = seeds_.count()
+    sent = F.broadcast if n <= BROADCAST_SEEDS else lambda df: df
+    found = stage(suspects(id_text(docs, id_col, text_col), seed_filter(seeds_, n), short), "suspects")
+    hits = found.select("row", F.inline("hits")).join(sent(seeds_.withColumnRenamed("at", "item_at")), "hash")
+    diagonals = hits.groupBy("row", "item", "n").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
+    asks = diagonals.groupBy("row").agg(F.collect_list(F.struct("item", "n", "diagonals")).alias("asks"))
+    faced = facing(found.join(asks, "row").select("row", "doc_id", "words", "asks")).join(sent(words), "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cache = SeedIndex(shared.value), HashCache()
         for batch in batches:
-            rows = [(doc_id, index.ids[k], a, i, n, same, len(index.words[k])) for doc_id, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True) for k, a, i, n, same in index.overlaps(word_hashes(text, cache))]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in SCHEMA.split(", ")])
-
-    return source.mapInArrow(run, SCHEMA)
+            out = []
+            for row, doc_id, item, at, thens, base, part, item_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                best = compare(np.frombuffer(part, np.uint64), base, np.frombuffer(raw, np.uint64), at, thens)
+                if best:
+                    out.append((row, item, at, doc_id, item_id, *best, len(raw) // 8))
+            columns = zip(*out, strict=True) if out else [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in f"row long, item long, at long, {SCHEMA}".split(", ")])
+
+    verified = faced.select("row", "doc_id", "item", "at", "thens", "base", "part", "item_id", "words").mapInArrow(run, f"row long, item long, at long, {SCHEMA}")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    best = verified.groupBy("row", "item").agg(F.min_by(F.struct(*names), F.struct(-F.col("n_equal"), "at")).alias("best"))
+    return best.select("best.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
