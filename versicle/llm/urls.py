@@ -14,16 +14,22 @@ from ._util import stage
 #: (verdict, host, path prefix); a rule covers its host and all subdomains.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Names as site owners choose them, for the two classes. Their words are also known to the segmenter.
+#: Names as site owners choose them, for the two classes, to train on. Their words are also known to the segmenter.
 BLOCK_NAMES = (
-    "spam farm", "cheap pills", "free bets", "casino win", "adult x", "ads track", "online casino", "poker bonus", "xxx videos", "sex cams", "buy viagra online", "cheap meds", "payday loans",
-    "click bait ads", "lottery winner", "free porn", "hot dating", "replica watches", "pills shop", "slots jackpot", "bet win", "link farm", "adult chat", "crypto bonus", "ad tracker", "pop ads",
-    "win free cash", "bets casino", "spam links", "weight loss pills",
+    "online casino", "poker bonus", "royal casino games", "roulette table", "slots jackpot", "lottery winner", "lucky bets club", "sports betting tips", "bets today", "win big jackpot", "win real money", "blackjack bonus", "bingo bonus", "gambling guide",
+    "xxx videos", "adult chat", "adult cams", "adult videos", "live sex cams", "hot escorts", "porn tube", "nude models", "hot dating", "erotic stories", "sexy singles", "hentai porn", "fetish cams",
+    "buy viagra online", "cialis pharmacy", "cheap meds", "discount pills", "diet pills", "weight loss miracle", "steroids shop", "no prescription meds", "xanax pills", "cheap viagra",
+    "payday loans", "fast cash loans", "bad credit loans", "free cash now", "crypto bonus", "bitcoin doubler", "forex profit", "get rich quick", "easy money system", "free gift cards",
+    "spam mail", "spam links", "bulk email blast", "link farm", "backlinks seller", "seo traffic", "ad tracker", "pop ads", "ads network", "click ads", "banner ads", "track clicks", "clickbait viral", "traffic exchange", "adware bundle",
+    "replica watches", "fake rolex", "cheap replica bags", "counterfeit shoes", "warez cracks", "keygen download", "serial cracks", "torrent warez", "free followers", "buy likes", "cheap followers", "phishing login",
 )
 ALLOW_NAMES = (
-    "daily news", "weather today", "city library", "open university", "science journal", "health service", "travel guide", "music school", "history museum", "garden club", "recipe book", "football club",
-    "public radio", "family doctor", "art gallery", "book review", "local council", "math notes", "language course", "bird watch", "film archive", "free software", "farm market", "track and field",
-    "research lab", "home page", "the other one", "open data", "write code", "safe web",
+    "daily news", "weather today", "city library", "open university", "science journal", "health service", "travel guide", "music school", "history museum", "garden club", "recipe book", "football club", "public radio", "family doctor",
+    "art gallery", "book review", "local council", "math notes", "language course", "bird watch", "film archive", "free software", "farm market", "track and field", "research lab", "home page", "the other one", "open data", "write code", "safe web",
+    "city hospital", "public school", "music theory", "local history", "garden plants", "science museum", "weather service", "travel notes", "river valley farm", "village church", "mountain rescue", "nature reserve", "bird reserve", "primary school",
+    "court records", "tax office", "census data", "climate research", "physics lab", "chemistry notes", "biology course", "medical journal", "nursing college", "student union", "college library", "reading club", "chess club", "cycling tours",
+    "hiking trails", "national park", "city theatre", "film festival", "jazz radio", "folk music", "poetry review", "short stories", "children books", "cooking school", "bread recipe", "wine valley", "coffee house", "tea garden",
+    "software docs", "linux kernel", "python tutorial", "map archive", "star atlas", "space agency", "ocean institute", "animal shelter", "fire department", "water works", "town hall", "post office", "bus timetable", "train museum", "big river tours", "win the race", "real estate law", "money museum", "game theory", "card index", "live concerts",
 )
 #: The longest word the segmenter knows.
 LONGEST = 24
@@ -158,11 +164,12 @@ def segmented(urls: DataFrame, counts: DataFrame, seeds: dict[str, int]) -> Data
     return placed.groupBy("host", "path").agg(F.sort_array(F.collect_list("one")).alias("all")).select("host", "path", F.concat_ws(" ", F.col("all.words")).alias("words"))
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", seed_weight: int = 1000) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", seed_weight: int = 1, prior: float = 0.2) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_odds, words) of every page.
 
     The longest fitting rule decides; without one, naive Bayes on the words of host and path does
-    ("block" at positive log odds). A null url or one without ``://`` has empty host and path,
+    ("block" at positive log odds), with ``prior`` as the share of pages to block. A word of the training
+    names counts ``seed_weight`` times for each of its names, beside its count in the titles. A null url or one without ``://`` has empty host and path,
     no words, and the class prior's verdict "allow". Repeated rows stay; an empty table gives an
     empty result.
     """
@@ -175,7 +182,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
             seeds[word] = seeds.get(word, 0) + seed_weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bayes = NaiveBayes(classes, {"block": 0.2, "allow": 0.8})
+        bayes = NaiveBayes(classes, {"block": prior, "allow": 1 - prior})
         for batch in batches:
             odds = [bayes(words.split()) for words in batch["words"].to_pylist()]
             verdict = [v or ("block" if o > 0 else "allow") for v, o in zip(batch["ruled"].to_pylist(), odds, strict=True)]
