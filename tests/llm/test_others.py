@@ -33,9 +33,73 @@ def test_licences(spark, licence_model, small):
     assert want <= {r.doc_id for r in found.collect()}
 
 
-def test_licence_edges(edges, empty, licence_model):
+def test_notices_at_every_place_of_a_long_line(spark, licence_model):
+    """Also across the places where pieces begin and end, and between many other words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    notices = [("MIT", licenses.TEMPLATES["MIT"][0]), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL", licenses.TEMPLATES["GPL"][0])]
+    rows = [(1000 * k + at, " ".join([*(word() for _ in range(at)), text, *(word() for _ in range(150 - at))])) for k, (_, text) in enumerate(notices) for at in range(0, 150, 3)]
+    got = collections.defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licence_model).collect():
+        got[r.doc_id].add(r.family)
+    missed = [d for d, _ in rows if notices[d // 1000][0] not in got[d]]
+    assert len(missed) <= 0.02 * len(rows), missed
+
+
+def test_recall_and_precision_of_changed_notices(spark, licence_model):
+    """Notices with words changed, lost or added (one of 9 to 20, three of more), among prose; 0.9 or more of each family's and of what is found."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    rows, want = [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for n in range(20):
+            words = rng.choice(templates).split()
+            edits = rng.sample(("change", "insert", "lose"), 3 if len(words) > 20 else 1 if len(words) > 8 else 0)
+            for edit in edits:
+                i = rng.randrange(len(words))
+                words[i : i + (edit != "insert")] = [] if edit == "lose" else [word()]
+            want[len(rows)] = family
+            rows.append((len(rows), "\n".join([" ".join(word() for _ in range(rng.randint(5, 60))), " ".join([*(word() for _ in range(rng.randint(0, 20))), *words, *(word() for _ in range(rng.randint(0, 20)))]), word()])))
+    rows += [(len(rows) + i, x) for i, x in enumerate(["The licence of the pub was lost.", "Permission to speak was granted by the chair.", "Software is sold without warranty in this shop."] * 10)]
+    got = [(r.doc_id, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licence_model).collect()]
+    right = sum(want.get(d) == f for d, f in got)
+    caught = collections.Counter(want[d] for d in {d for d, f in got if want.get(d) == f})
+    assert right >= 0.9 * len(got) and all(caught[f] >= 18 for f in licenses.TEMPLATES), caught
+
+
+def test_scan_equals_plain_scores(spark, licence_model, small):
+    """Piece by piece, with sums of single n-grams, for ties and repeated rows too."""
+    cache, want = licenses.HashCache(), collections.Counter()
+    long = spark.createDataFrame([(5000, "aa bb " * 45 + "Released under the MIT License. " + "cc dd " * 40), (5001, "Released under the MIT License.\nReleased under the MIT License.")] * 2, "doc_id long, text string")
+    frame = small.select("doc_id", "text").unionByName(long)
+    for doc_id, text in frame.collect():
+        for number, line in enumerate(text.split("\n")):
+            words = licenses.hashes_of(line.encode(), cache)
+            best = {}
+            for a in range(0, max(1, len(words) - licenses.PIECE_WORDS + licenses.STRIDE), licenses.STRIDE):
+                piece = words[a : a + licenses.PIECE_WORDS]
+                grams = [g for b in licenses.gram_buckets(piece) for g in b]
+                if len(piece):
+                    raw = sum(licence_model.weight[g].astype(float) for g in grams) / len(grams) ** 0.5 + licence_model.bias
+                    p = licenses.softmax(raw[None] / licence_model.temperature)[0]
+                    if 1 - p[0] >= 0.5:
+                        own, three = licenses.gram_set(piece), sorted(range(1, len(p)), key=lambda c: -p[c])[:3]
+                        near = {c: max((len(own & t) / min(len(own), len(t)) for t in licence_model.templates[licence_model.families[c]] if min(len(own), len(t)) >= 3), default=0.0) for c in three}
+                        c = max(three, key=lambda c: (near[c], p[c]))
+                        if near[c] >= 0.6:
+                            family = licence_model.families[c]
+                            best[family] = max(best.get(family, (0, 0)), (near[c], p[c]))
+            for family, (near, p) in best.items():
+                want[doc_id, number, family, round(near, 6), round(p, 4)] += 1
+    got = collections.Counter((r.doc_id, r.paragraph, r.family, round(r.similarity, 6), round(r.probability, 4)) for r in licenses.scan(frame, licence_model).collect())
+    assert got == want and got[max(got)] == 2
+
+
+def test_licence_edges(spark, edges, empty, licence_model):
     assert licenses.scan(edges, licence_model).count() == 0 and licenses.scan(empty, licence_model).count() == 0
-    assert licenses.fit(empty).families[0] == licenses.UNKNOWN
+    assert licenses.fit(empty).families[0] == licenses.UNKNOWN and licenses.fit(edges, sample=50).temperature > 0
+    empty_piece = licenses.piece_edges(np.array([0, 3, 3, 100, 261]))
+    assert [x.tolist() for x in empty_piece] == [[1, 3, 3, 3, 4, 4, 4, 4, 4, 4, 4], [0, 3, 23, 43, *range(100, 221, 20)], [3, 63, 83, 100, *range(160, 261, 20), 261]]
 
 
 # --- revisits ----------------------------------------------------------------------------------

@@ -71,40 +71,50 @@ NOT_LICENCES = (
     "This work took three years.", "The mit students won the prize.", "The university released a statement under pressure.", "No warranty was given with the used car.",
 )
 UNKNOWN = "unknown"
-#: Size of the hashed feature space, longest word n-gram, words in a scanned piece, corpus paragraphs in the training sample.
-BUCKETS, NGRAM, PIECE_WORDS, SAMPLE_PARAGRAPHS = 1 << 16, 3, 60, 4000
+#: Size of the hashed feature space, longest word n-gram, pieces of the corpus in the training sample.
+BUCKETS, NGRAM, SAMPLE_PIECES = 1 << 16, 3, 4000
+#: Words in a scanned piece of a paragraph, and words from one piece's start to the next one's: of any template a
+#: piece holds the whole or 41 words.
+PIECE_WORDS, STRIDE = 60, 20
 #: Two- and three-word n-grams that a piece and a template must have to be compared.
 LEAST_GRAMS = 3
 
 PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
 
 
-def pieces_of(text: bytes) -> tuple[list[list[bytes]], list[int]]:
-    """Words of each paragraph (line) of a text, long ones in pieces of PIECE_WORDS, and the paragraphs' numbers."""
-    words, number = [], []
-    for i, line in enumerate(PUNCTUATION.sub(b" ", text.lower()).split(b"\n")):
-        w = line.split()
-        for j in range(0, len(w), PIECE_WORDS):
-            words.append(w[j : j + PIECE_WORDS])
-            number.append(i)
-    return words, number
+def hashes_of(text: bytes, cache: HashCache) -> np.ndarray:
+    """64-bit hashes of a text's words: A-Z lower-cased, ASCII punctuation and blanks between them."""
+    return np.frombuffer(b"".join(map(cache.__getitem__, PUNCTUATION.sub(b" ", text.lower()).split())), np.uint64)
 
 
-def grams(pieces: list[list[bytes]], cache: HashCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, piece, order) of every word n-gram of up to NGRAM words, none across pieces."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    h = np.frombuffer(b"".join(cache[w] for p in pieces for w in p), np.uint64)
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    buckets, owner, order, rolled = [], [], [], np.zeros(len(h), np.uint64)
+def paragraphs(text: bytes, cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a text, and the number of words up to the end of each paragraph (line)."""
+    lines = [x.split() for x in PUNCTUATION.sub(b" ", text.lower()).split(b"\n")]
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    return np.frombuffer(b"".join([cache[w] for line in lines for w in line]), np.uint64), ends
+
+
+def piece_edges(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paragraph, start, end) of the pieces of all paragraphs that have words: STRIDE apart, the last one to the end."""
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    counts = np.where(ends > starts, 1 + np.maximum(0, -(-(ends - starts - PIECE_WORDS) // STRIDE)), 0)
+    paragraph = np.repeat(np.arange(len(ends)), counts)
+    first = starts[paragraph] + STRIDE * (np.arange(len(paragraph)) - np.repeat(np.cumsum(counts) - counts, counts))
+    return paragraph, first, np.minimum(first + PIECE_WORDS, ends[paragraph])
+
+
+def gram_buckets(words: np.ndarray) -> list[np.ndarray]:
+    """For each length up to NGRAM, the bucket of the n-gram that begins at each word."""
+    found, rolled = [], np.zeros(len(words), np.uint64)
     for n in range(1, NGRAM + 1):
-        if len(h) < n:
-            break
-        rolled = rolled[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :]
-        inside = piece[: len(rolled)] == piece[n - 1 :]
-        buckets.append((mix64(rolled[inside] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64))
-        owner.append(piece[: len(rolled)][inside])
-        order.append(np.full(len(buckets[-1]), n))
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (buckets, owner, order))
+        rolled = rolled[: max(0, len(words) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
+        found.append((mix64(rolled + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64))
+    return found
+
+
+def gram_set(words: np.ndarray) -> frozenset[int]:
+    """Buckets of the two- and three-word n-grams."""
+    return frozenset(np.concatenate(gram_buckets(words)[1:]).tolist())
 
 
 class LicenceModel:
@@ -116,129 +126,157 @@ class LicenceModel:
         self.bias = np.zeros(len(self.families), np.float32)
         self.temperature = 1.0
         cache = HashCache()
-        self.templates = {f: [self._set(t.encode(), cache) for t in TEMPLATES[f]] for f in families}
-
-    @staticmethod
-    def _set(text: bytes, cache: HashCache) -> frozenset[int]:
-        """A template's or piece's buckets of two- and three-word n-grams."""
-        words = PUNCTUATION.sub(b" ", text.lower()).split()
-        bucket, _, order = grams([words], cache)
-        return frozenset(bucket[order > 1].tolist())
-
-    def logits(self, bucket: np.ndarray, piece: np.ndarray, n: int) -> np.ndarray:
-        size = np.maximum(np.bincount(piece, minlength=n), 1)
-        out = np.empty((n, len(self.families)), np.float32)
-        rows = self.weight[bucket]
-        for c in range(rows.shape[1]):
-            out[:, c] = np.bincount(piece, rows[:, c], n)
-        return out / np.sqrt(size)[:, None] + self.bias
-
-    def fit(self, pieces: list[list[bytes]], y: np.ndarray, rounds: int = 80, rate: float = 0.5) -> LicenceModel:
-        hold = np.arange(len(y)) % 5 == 0
-        cache = HashCache()
-
-        def encoded(rows: np.ndarray) -> tuple:
-            own = [pieces[i] for i in rows]
-            bucket, piece, _ = grams(own, cache)
-            return bucket, piece, len(own), y[rows]
-
-        bucket, piece, n, want = encoded(np.flatnonzero(~hold))
+        self.templates = {f: [gram_set(hashes_of(t.encode(), cache)) for t in TEMPLATES[f]] for f in families}
+
+    def logits(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row for each piece [start, end) of ``words``, from running sums of the n-grams' weights."""
+        total, size = np.zeros((len(starts), len(self.families))), np.zeros(len(starts), np.int64)
+        for n, bucket in enumerate(gram_buckets(words)):
+            sums = np.concatenate([np.zeros((1, len(self.families))), np.cumsum(self.weight[bucket], axis=0, dtype=np.float64)])
+            last = np.maximum(ends - n, starts)
+            total += sums[np.minimum(last, len(bucket))] - sums[np.minimum(starts, len(bucket))]
+            size += last - starts
+        return total / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
+
+    def fit(self, pieces: list[np.ndarray], y: np.ndarray, hold: np.ndarray, rounds: int = 80, rate: float = 0.5) -> LicenceModel:
+        """Calibrated on the ``hold`` rows with weights from the others; then trained on all."""
+        if hold.any() and not hold.all():
+            self._train([pieces[i] for i in np.flatnonzero(~hold)], y[~hold], rounds, rate)
+            own = [pieces[i] for i in np.flatnonzero(hold)]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            raw = self.logits(np.concatenate(own), ends - np.fromiter(map(len, own), np.int64, len(own)), ends)
+            options = np.geomspace(0.25, 8, 41)
+            self.temperature = float(min(options, key=lambda t: -np.log(softmax(raw / t)[np.arange(len(raw)), y[hold]] + 1e-12).mean()))
+        return self._train(pieces, y, rounds, rate)
+
+    def _train(self, pieces: list[np.ndarray], y: np.ndarray, rounds: int, rate: float) -> LicenceModel:
+        grams = [np.concatenate(gram_buckets(p)) for p in pieces]
+        n, classes = len(pieces), len(self.families)
+        piece = np.repeat(np.arange(n), np.fromiter(map(len, grams), np.int64, n))
+        used, slot = np.unique(np.concatenate(grams), return_inverse=True)
         norm = 1 / np.sqrt(np.maximum(np.bincount(piece, minlength=n), 1))
-        truth = np.eye(len(self.families), dtype=np.float32)[want]
-        used, slot = np.unique(bucket, return_inverse=True)
-        past, past_bias = np.full((len(used), len(self.families)), 1e-2, np.float32), np.full(len(self.families), 1e-2, np.float32)
-        share = 1 / np.maximum(np.bincount(want, minlength=len(self.families)), 1)[want]
+        truth = np.eye(classes, dtype=np.float32)[y]
+        share = 1 / np.maximum(np.bincount(y, minlength=classes), 1)[y]
         share *= n / share.sum()
+        weight, bias = np.zeros((len(used), classes), np.float32), np.zeros(classes, np.float32)
+        past, past_bias = np.full(weight.shape, 1e-2, np.float32), np.full(classes, 1e-2, np.float32)
         for _ in range(rounds):
-            error = (softmax(self.logits(bucket, piece, n)) - truth) * share[:, None] / n
+            rows = weight[slot]
+            raw = np.stack([np.bincount(piece, rows[:, c], n) for c in range(classes)], axis=1) * norm[:, None] + bias
+            error = (softmax(raw) - truth) * share[:, None] / n
             spread = (error * norm[:, None])[piece]
-            grad = np.stack([np.bincount(slot, spread[:, c], len(used)) for c in range(spread.shape[1])], axis=1) + 1e-6 * self.weight[used]
+            grad = np.stack([np.bincount(slot, spread[:, c], len(used)) for c in range(classes)], axis=1) + 1e-6 * weight
             past += grad**2
-            self.weight[used] -= rate * grad / np.sqrt(past + 1e-8)
+            weight -= rate * grad / np.sqrt(past + 1e-8)
             past_bias += error.sum(0) ** 2
-            self.bias -= rate * error.sum(0) / np.sqrt(past_bias)
-        bucket, piece, n, want = encoded(np.flatnonzero(hold))
-        if n:
-            raw = self.logits(bucket, piece, n)
-            options = np.geomspace(0.25, 8, 41)
-            self.temperature = float(min(options, key=lambda t: -np.log(softmax(raw / t)[np.arange(n), want] + 1e-12).mean()))
+            bias -= rate * error.sum(0) / np.sqrt(past_bias)
+        self.weight = np.zeros((BUCKETS, classes), np.float32)
+        self.weight[used], self.bias = weight, bias.astype(np.float32)
         return self
 
-    def __call__(self, pieces: list[list[bytes]], cache: HashCache, least: float, similar: float) -> list[tuple[int, str, float, float, bool]]:
-        """(piece, family, probability, similarity, confirmed) of the pieces that are not of the unknown class."""
-        if not pieces:
+    def __call__(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float, similar: float) -> list[tuple[int, str, float, float, bool]]:
+        """(piece, family, probability, similarity, confirmed) of the pieces that are not of the unknown class.
+
+        A piece is taken on if the unknown class has at most 1 - ``least``; of the three likeliest
+        families it gets the one whose templates are nearest (then the likelier).
+        """
+        if not len(starts):
             return []
-        bucket, piece, order = grams(pieces, cache)
-        p = softmax(self.logits(bucket, piece, len(pieces)) / self.temperature)
-        best = p.argmax(1)
+        p = softmax(self.logits(words, starts, ends) / self.temperature)
         found = []
-        for i in np.flatnonzero((best > 0) & (p[np.arange(len(best)), best] >= least)):
-            own = frozenset(bucket[(piece == i) & (order > 1)].tolist())
-            family = self.families[best[i]]
-            near = max((len(own & t) / min(len(own), len(t)) for t in self.templates[family] if min(len(own), len(t)) >= LEAST_GRAMS), default=0.0)
-            found.append((int(i), family, float(p[i, best[i]]), float(near), bool(near >= similar)))
+        for i in np.flatnonzero(1 - p[:, 0] >= least):
+            own = gram_set(words[starts[i] : ends[i]])
+            near, chance, c = max((self.likeness(own, c), float(p[i, c]), c) for c in 1 + np.argsort(-p[i, 1:], kind="stable")[:3])
+            found.append((int(i), self.families[c], chance, near, near >= similar))
         return found
 
+    def likeness(self, own: frozenset[int], family: int) -> float:
+        """To the nearest template of a family: shared n-grams over those of the shorter; 0 with fewer than LEAST_GRAMS."""
+        return max((len(own & t) / min(len(own), len(t)) for t in self.templates[self.families[family]] if min(len(own), len(t)) >= LEAST_GRAMS), default=0.0)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def variants(words: list[bytes], noise: list[bytes], rng: np.random.Generator) -> Iterator[list[bytes]]:
-    """A template as it may stand in a text: whole, with lost or changed words, cut, or between other words."""
+def variants(words: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """A template as it may stand in a text: whole, with lost or changed words, cut, or between other words, up to a full piece of them."""
     yield words
     for _ in range(3):
-        yield [w if rng.random() > 0.05 else noise[rng.integers(len(noise))] for w in words if rng.random() > 0.05] or words
+        kept = words[rng.random(len(words)) > 0.05]
+        changed = np.where(rng.random(len(kept)) > 0.05, kept, noise[rng.integers(0, len(noise), len(kept))])
+        yield changed if len(changed) else words
     if len(words) > 12:
         a = int(rng.integers(0, len(words) // 3))
         yield words[a : a + max(10, 2 * len(words) // 3)]
-    for _ in range(3):
-        a, b = rng.integers(0, 12, 2)
-        yield ([noise[k] for k in rng.integers(0, len(noise), a)] + words + [noise[k] for k in rng.integers(0, len(noise), b)])[:PIECE_WORDS]
+    for most in (12, 12, 12, PIECE_WORDS, PIECE_WORDS):
+        a, b = rng.integers(0, most, 2)
+        yield np.concatenate([noise[rng.integers(0, len(noise), a)], words, noise[rng.integers(0, len(noise), b)]])
+    room = max(0, PIECE_WORDS - len(words))
+    a = int(rng.integers(0, room + 1))
+    yield np.concatenate([noise[rng.integers(0, len(noise), a)], words, noise[rng.integers(0, len(noise), room - a)]])
+
+
+def sample_pieces(docs: DataFrame, sample: int) -> list[np.ndarray]:
+    """Word hashes of ``sample`` pieces of (doc_id, text), in hash order, of the first documents in hash order of their ids, a tenth as many."""
+    if not sample:
+        return []
+    first = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, sample // 10))
+    chosen = docs.join(F.broadcast(first), "doc_id", "left_semi").select("text").distinct()  # ids first; the texts stay in tasks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for batch in batches:
+            for text in raw_bytes(batch.column(0)):
+                words, ends = paragraphs(text, cache)
+                _, a, b = piece_edges(ends)
+                yield pa.RecordBatch.from_arrays([pa.array([words[i:j].tobytes() for i, j in zip(a, b, strict=True) if j - i >= 3], pa.binary())], ["words"])
+
+    found = chosen.mapInArrow(run, "words binary").distinct().orderBy(F.xxhash64("words"), "words").limit(sample)  # at most eight bytes for each word of a piece
+    return [np.frombuffer(r["words"], np.uint64) for r in found.collect()]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PARAGRAPHS) -> LicenceModel:
-    """A classifier of the TEMPLATES' families against ``sample`` paragraphs of the corpus and NOT_LICENCES.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PIECES) -> LicenceModel:
+    """A classifier of the TEMPLATES' families against ``sample`` pieces of the corpus and NOT_LICENCES.
 
-    The sample is taken from the first documents in hash order of their ids, a tenth as many, none of
-    over 200,000 characters; paragraphs that share over half of a template's n-grams are left out.
+    Pieces that share over half of a template's n-grams are left out. The temperature is fitted on
+    variants of templates that the weights are not trained on (the last of each family of three or
+    more) and a fifth of the other pieces. Null ids and texts, repeated rows and an empty table are
+    no trouble: NOT_LICENCES are always there.
     """
     families = tuple(TEMPLATES)
-    source = id_text(docs, id_col, text_col).filter(F.length("text") <= 200_000)
-    first = source.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 10)
-    texts = [r["text"] for r in source.join(F.broadcast(first), "doc_id", "left_semi").limit(sample).collect()] if sample else []  # ids first: texts of the chosen alone reach the driver
-    picked = [x.encode() for t in sorted(texts) for x in t.split("\n") if len(x) >= 20][:sample]
     model, cache, rng = LicenceModel(families), HashCache(), np.random.default_rng(7)
-    split = lambda text: PUNCTUATION.sub(b" ", text.lower()).split()[:PIECE_WORDS]
     all_templates = [t for ts in model.templates.values() for t in ts if t]
-    others = [split(x.encode()) for x in NOT_LICENCES]
-    for line in picked:
-        own = model._set(line, cache)
+    others = [hashes_of(x.encode(), cache) for x in NOT_LICENCES]
+    for piece in sample_pieces(id_text(docs, id_col, text_col), sample):
+        own = gram_set(piece)
         if not any(len(own & t) > 0.5 * len(t) for t in all_templates):
-            others.append(split(line))
-    others = [x for x in others if x]
-    noise = [w for x in others for w in x]
-    pieces, y = list(others), [0] * len(others)
+            others.append(piece)
+    noise = np.concatenate(others)
+    pieces, y, hold = list(others), [0] * len(others), [i % 5 == 4 for i in range(len(others))]
     for c, family in enumerate(families, 1):
-        for template in TEMPLATES[family]:
-            for v in variants(split(template.encode()), noise, rng):
+        for number, template in enumerate(TEMPLATES[family], 1):
+            for v in variants(hashes_of(template.encode(), cache), noise, rng):
                 pieces.append(v)
                 y.append(c)
-    return model.fit(pieces, np.array(y))
+                hold.append(number == len(TEMPLATES[family]) >= 3)
+    return model.fit(pieces, np.array(y), np.array(hold))
 
 
 SCHEMA = "doc_id long, paragraph long, family string, probability double, similarity double, confirmed boolean"
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, similar: float = 0.6, unconfirmed: bool = False) -> DataFrame:
-    """One row per paragraph (line) piece that carries a licence: its family, calibrated probability,
+    """One row per paragraph (line) and licence family found in it: the calibrated probability,
     likeness to the nearest template of that family (shared n-grams over those of the shorter), and
-    whether that reaches ``similar``. Predictions that no template confirms count as unknown; they
-    are returned only if ``unconfirmed`` is set.
+    whether that reaches ``similar``, of the piece where likeness and then probability are highest.
+    Predictions that no template confirms count as unknown; they are returned only if
+    ``unconfirmed`` is set.
 
-    Every paragraph of every whole text is scored. Null and empty texts and paragraphs of the
-    unknown class give no row; repeated rows give repeated results.
+    Paragraphs are scored in overlapping pieces, so that a notice is seen wherever it stands in a
+    line of any length; every paragraph of every whole text is scored. Null and empty texts and
+    paragraphs of the unknown class give no row; repeated rows give repeated results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # BUCKETS rows
 
@@ -246,28 +284,37 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
         fitted, cache = pickle.loads(shared.value), HashCache()
         for batch in batches:
             rows: list[tuple] = []
-            held: list[list[bytes]] = []
-            whose: list[tuple] = []
-
-            def flush() -> None:
-                rows.extend((*whose[i], *rest) for i, *rest in fitted(held, cache, least, similar) if rest[-1] or unconfirmed)
-                held.clear()
-                whose.clear()
-
+            held: list[tuple] = []
             size = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
-                words, number = pieces_of(text)
-                held += words
-                whose += [(doc_id, k) for k in number]
+                held.append((doc_id, *paragraphs(text, cache)))
                 size += len(text)
-                if size > 1 << 19:
-                    flush()
-                    size = 0
-            flush()
+                if size > 1 << 18:
+                    rows += found(fitted, held)
+                    held, size = [], 0
+            rows += found(fitted, held)
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
+    def found(fitted: LicenceModel, held: list[tuple]) -> list[tuple]:
+        if not held:
+            return []
+        sizes = [len(w) for _, w, _ in held]
+        base = np.cumsum(sizes) - sizes
+        edges = [piece_edges(ends) for _, _, ends in held]
+        owner = np.repeat(np.arange(len(held)), [len(e[0]) for e in edges])
+        paragraph, starts, ends = (np.concatenate(x) for x in zip(*edges, strict=True))
+        words = np.concatenate([w for _, w, _ in held])
+        best: dict[tuple, tuple] = {}
+        for first in range(0, len(starts), 10_000):  # a long text is scored in parts
+            a, b = starts[first : first + 10_000] + base[owner[first : first + 10_000]], ends[first : first + 10_000] + base[owner[first : first + 10_000]]
+            for i, family, p, near, sure in fitted(words[a[0] : b.max()], a - a[0], b - a[0], least, similar):
+                key = int(owner[first + i]), int(paragraph[first + i]), family
+                if (sure or unconfirmed) and (key not in best or (near, p) > best[key][:2]):
+                    best[key] = near, p, sure
+        return [(held[o][0], number, family, p, near, sure) for (o, number, family), (near, p, sure) in sorted(best.items())]
+
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
