@@ -75,6 +75,8 @@ def test_statistics(spark):
 def test_forward_fill_compare_validate_search(spark):
     lines = spark.createDataFrame([(p, n, h) for p, n, h in [(1, 1, None), (1, 2, "x"), (2, 1, None), (3, 1, "y"), (3, 2, None)]], "page int, line_number int, h string")
     assert rows(corpus.forward_fill(lines, F.col("h"), "first"), "page", "line_number", "author") == [(1, 1, "first"), (1, 2, "x"), (2, 1, "x"), (3, 1, "y"), (3, 2, "y")]
+    far = spark.createDataFrame([(None, 1, None), (None, 2, "n"), (5, 1, "a"), (20_000_000, 1, None), (20_000_001, 1, "b"), (2_000_000_000, 1, None)], "page int, line_number int, h string")
+    assert {(r.page, r.line_number): r.author for r in corpus.forward_fill(far, F.col("h"), "first").collect()} == {(None, 1): "first", (None, 2): "n", (5, 1): "a", (20_000_000, 1): "a", (20_000_001, 1): "b", (2_000_000_000, 1): "b"}
     a = spark.createDataFrame([(1, i, t) for i, t in enumerate(["x y", "x, y", "ਕੰ", "ਕ਼", "x", "same", "only"])], "page int, line_index int, text string")
     b = spark.createDataFrame([(1, i, t) for i, t in enumerate(["x  y", "x y", "ਕਂ", "ਕ", "z", "same"])] + [(2, 0, "extra")], "page int, line_index int, text string")
     kinds = [r[0] for r in corpus.compare(a, b).orderBy("page", "line_index").select(F.coalesce("discrepancy", F.lit("match"))).collect()]
@@ -83,4 +85,4 @@ def test_forward_fill_compare_validate_search(spark):
     index = search.flat_postings(docs, "tokens")
     find = lambda q: [r.line_uid for r in search.search(index, docs, q, order=("page",)).collect()]
     assert find("a") == ["1", "2"] and find("b a") == ["1"] and find("") == [] and find("zz a") == []
-    assert rows(search.postings(docs, "tokens", order=("page",)), "term", "n_docs") == [("a", 2), ("b", 1)]
+    assert rows(search.postings(docs, "tokens", order=("page",), size=1), "term", "part", "n_docs") == [("a", 1, 2), ("b", 1, 1)]

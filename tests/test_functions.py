@@ -61,3 +61,5 @@ def test_script_and_numerals(spark):
     got = column(spark, ["ਕਖ੧੨ x", "abc", ""], T.has_script(F.col("t")), F.round(T.script_ratio(F.col("t")), 4), T.numeral(F.col("t")), T.unexpected_characters(F.col("t")))
     assert got == [(True, 0.6667, 12, []), (False, 0.0, None, []), (False, 0.0, None, [])]
     assert column(spark, ["é☃a"], T.unexpected_characters(F.col("t"))) == [(["é", "☃"],)]
+    long = "੧" * 12
+    assert column(spark, [long, "੧" * 40], T.numeral(F.col("t"))) == [(111_111_111_111,), (None,)]

@@ -1,6 +1,7 @@
 """Column functions: normalisation, tokenisation, identifiers, labels and rates.
 
-All are built-in expressions but ``nfc``, which needs Unicode tables that Spark does not expose.
+All are built-in expressions but ``nfc``, which needs Unicode tables that Spark does not expose, and
+``token_spans``, whose running search no built-in function does in linear time.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -112,24 +114,30 @@ def tokens(text: Column) -> Column:
     return F.filter(stripped, lambda w: w != "")
 
 
-def _locate(token: Column, text: Column, at: Column) -> Column:
-    """1-based place of ``token`` in ``text`` after ``at`` characters, or 0."""
-    return F.call_function("locate", token, text, at + 1)
-
-
 def token_spans(text: Column, of: Column, restart: bool = True) -> Column:
-    """[start, end) of each token, searched from left to right; one not found onwards is searched from the start (``restart``) or gets -1, -1."""
-    kind = "struct<at:int,spans:array<struct<start:int,end:int>>>"
-
-    def step(acc: Column, token: Column) -> Column:
-        on = _locate(token, text, acc["at"])
-        at = F.when(on > 0, on).otherwise(_locate(token, text, F.lit(0)) if restart else F.lit(0))
-        end = F.when(at > 0, at - 1 + F.length(token)).otherwise(F.lit(-1))
-        span = F.struct((F.when(at > 0, at - 1).otherwise(F.lit(-1))).cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(F.when(at > 0, end).otherwise(acc["at"]).cast("int").alias("at"), F.array_append(acc["spans"], span).alias("spans")).cast(kind)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(kind)
-    return F.aggregate(of, start, step)["spans"]
+    """[start, end) of each token, searched from left to right; one not found onwards is searched from the start (``restart``) or gets -1, -1.
+
+    Null without tokens. One running search over each line, in Arrow batches.
+    """
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def find(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+        starts, ends, edges, valid = [], [], [0], []
+        for line, words in zip(texts.to_pylist(), tokens.to_pylist(), strict=True):
+            at = 0
+            for word in words or ():
+                i = (line or "").find(word, at)
+                if i < 0 and restart:
+                    i = (line or "").find(word)
+                starts.append(i)
+                ends.append(i + len(word) if i >= 0 else -1)
+                at = ends[-1] if i >= 0 else at
+            edges.append(len(starts))
+            valid.append(words is not None)
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans, mask=pa.array([not x for x in valid], pa.bool_()))
+
+    return find(text, of)
 
 
 def has_script(text: Column) -> Column:
@@ -146,9 +154,9 @@ def unexpected_characters(text: Column) -> Column:
 
 
 def numeral(text: Column) -> Column:
-    """Integer value of the first run of script numerals, or null."""
+    """Value of the first run of script numerals, or null; also for a run beyond 64 bits (over 18 digits)."""
     run = F.regexp_extract(text, f"[{NUMERALS}]+", 0)
-    return F.when(run != "", F.translate(run, NUMERALS, "0123456789").cast("int"))
+    return F.when(run != "", F.translate(run, NUMERALS, "0123456789").try_cast("long"))
 
 
 def line_uid(page: Column, line_id: Column, text: Column) -> Column:

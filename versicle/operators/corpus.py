@@ -15,15 +15,31 @@ VISHRAM_SIGNS, NASAL_SIGNS, NUKTA_SIGNS = ";,.।॥", T.BINDI + T.TIPPI, T.NUKT
 def forward_fill(lines: DataFrame, header: Column, default: str, page: str = "page", order: tuple[str, ...] = ("line_number",), name: str = "author") -> DataFrame:
     """The last header value at or before each line, over all pages; ``default`` before the first.
 
-    In two levels: within each page by a window, and from page to page by a window over one row per
-    page that has a header, so that no window holds the whole corpus's lines.
+    Within each page by a window; from page to page by ``carried``, over one row per page. Lines
+    without a page are filled among themselves alone.
     """
     w = Window.partitionBy(page).orderBy(*order)
     own = lines.withColumn("__h", header).withColumn("__f", F.last("__h", ignorenulls=True).over(w))
-    ends = own.groupBy(page).agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), F.struct(*order))).alias("__e"))
-    before = Window.partitionBy(F.lit(0)).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(page, F.last("__e", ignorenulls=True).over(before).alias("__c"))
-    return own.join(carried, page).withColumn(name, F.coalesce("__f", "__c", F.lit(default))).drop("__h", "__f", "__c")
+    ends = own.filter(F.col(page).isNotNull()).groupBy(F.col(page).cast("long").alias("__k")).agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), F.struct(*order))).alias("__v"))
+    found = own.join(carried(ends), F.col(page) == F.col("__k"), "left")
+    return found.withColumn(name, F.coalesce("__f", "__c", F.lit(default))).drop("__h", "__f", "__c", "__k")
+
+
+def carried(ends: DataFrame, size: int = 4096, levels: int = 5) -> DataFrame:
+    """(__k, __c): for each key of (__k, __v), the last value that is not null at a smaller key.
+
+    Keys are cut into blocks of ``size``, the blocks into blocks, and so on: each level is a window
+    over at most ``size`` rows of one block, and each higher level has a row for each block below.
+    Five levels of 4096 hold all keys that are page numbers, up to 2 ** 60.
+    """
+    block = F.floor(F.col("__k") / size)
+    before = Window.partitionBy(block).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    here = ends.select("__k", F.last("__v", ignorenulls=True).over(before).alias("__here"), block.alias("__b"))
+    if levels == 1:
+        return here.select("__k", F.col("__here").alias("__c"))
+    above = carried(ends.groupBy(block.alias("__k")).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__v")), size, levels - 1)
+    above = above.select(F.col("__k").alias("__b"), F.col("__c").alias("__above"))
+    return here.join(above, "__b", "left").select("__k", F.coalesce("__here", "__above").alias("__c"))
 
 
 def validate(lines: DataFrame, renormalized: Column, key: str = "line_uid", text: str = "text", versions: tuple[str, ...] = ("1.0.0",), longest: int = 200) -> DataFrame:

@@ -51,7 +51,11 @@ def peaks(ratios: DataFrame, top: int = 3) -> DataFrame:
 
 
 def by_section(long: DataFrame, sections: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """section, dim, lines, mean, exact median and sample deviation of line densities; zeros for a section without lines."""
+    """section, dim, lines, mean, exact median and sample deviation of line densities; zeros for a section without lines.
+
+    The median is found from the counts of distinct densities; as they have six places and lie
+    between 0 and 1, a group has a million of these at most, however many lines.
+    """
     found = in_section(long, sections).groupBy("section", "dim").agg(F.count("*").alias("lines"), F.avg("density").alias("m"), F.median("density").alias("md"), F.stddev_samp("density").alias("s"))
     spine = sections.select(F.col("id").alias("section"), F.explode(F.array(*map(F.lit, dims))).alias("dim"))
     zero = lambda c: F.round(F.coalesce(F.when(F.isnan(c), 0.0).otherwise(F.col(c)), F.lit(0.0)), 6)
@@ -61,13 +65,14 @@ def by_section(long: DataFrame, sections: DataFrame, dims: tuple[str, ...]) -> D
 def sliding(long: DataFrame, width: int = 20) -> DataFrame:
     """window_start, window_end, dim, mean line density over the pages of each full window; zero over absent pages.
 
-    Lines are first summed by page; the range frame then runs over the page range, which is as
-    small as the book has pages.
+    Lines are summed by page; each page's sums then go to the windows that hold it, an aggregate with
+    map-side combine. Windows run from the first page of a dimension to the last one, or are one if
+    there are fewer pages.
     """
     page = long.groupBy("dim", "page").agg(millionths().alias("s"), F.count("*").alias("n"))
-    reach = page.groupBy("dim").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
-    spine = reach.select("dim", "hi", F.explode(F.sequence("lo", F.greatest("lo", F.col("hi") - width + 1))).alias("page")).filter(F.col("page") + width - 1 <= F.greatest("hi", F.col("page") + width - 1))
-    full = reach.select("dim", F.explode(F.sequence("lo", "hi")).alias("page")).join(page, ["dim", "page"], "left")
-    frame = Window.partitionBy("dim").orderBy("page").rangeBetween(0, width - 1)
-    summed = full.select("dim", "page", F.sum("s").over(frame).alias("s"), F.sum("n").over(frame).alias("n"))
-    return spine.select("dim", "page").join(summed, ["dim", "page"]).select(F.col("page").alias("window_start"), (F.col("page") + width - 1).alias("window_end"), "dim", F.coalesce(exact_mean(F.col("s"), F.col("n")), F.lit(0.0)).alias("mean_density"))
+    reach = page.groupBy("dim").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))  # a row for each dimension
+    last = F.greatest("lo", F.col("hi") - width + 1)
+    parts = reach.select("dim", last.alias("last"), F.explode(F.sequence("lo", last, F.lit(1024))).alias("first"))
+    spine = parts.select("dim", F.explode(F.sequence("first", F.least("last", F.col("first") + 1023))).alias("page"))
+    held = page.select("dim", "s", "n", F.explode(F.sequence(F.col("page") - width + 1, F.col("page"))).alias("page")).groupBy("dim", "page").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return spine.join(held, ["dim", "page"], "left").select(F.col("page").alias("window_start"), (F.col("page") + width - 1).alias("window_end"), "dim", F.coalesce(exact_mean(F.col("s"), F.col("n")), F.lit(0.0)).alias("mean_density"))

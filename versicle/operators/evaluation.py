@@ -83,10 +83,18 @@ def page_sample(total: int, size: int, seed: int = 42) -> list[int]:
     return sorted({rng.randint(int(i * step) + 1, max(int(i * step) + 1, min(int((i + 1) * step), total))) for i in range(min(size, total))})
 
 
+def first_pages(lines: DataFrame, size: int, page: str = "page") -> DataFrame:
+    """The first page with lines of each of ``size`` equal strata of 1 to the last page."""
+    pages = lines.select(page).distinct()
+    last = pages.agg(F.max(page).alias("__last"))  # one row
+    stratum = F.floor((F.col(page) - 1) * size / F.col("__last"))
+    return pages.join(F.broadcast(last)).groupBy(stratum.alias("__s")).agg(F.min(page).alias(page)).select(page)
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """Per category and a MACRO row, for writing as CSV."""
     m = macro(metrics).select(F.lit("MACRO").alias("category"), *(F.lit(None).cast("long").alias(c) for c in ("tp", "fp", "fn", "support")), F.col("macro_precision").alias("precision"), F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1"))
     return metrics.unionByName(m)
 
 
-__all__ = ["GOLD", "category_metrics", "confusion", "errors", "f1", "joined", "macro", "page_sample", "percent", "proportional_sample", "ratio", "report", "sweep"]
+__all__ = ["GOLD", "category_metrics", "confusion", "errors", "f1", "first_pages", "joined", "macro", "page_sample", "percent", "proportional_sample", "ratio", "report", "sweep"]

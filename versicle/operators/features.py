@@ -26,6 +26,13 @@ def wide_features(lines: DataFrame, matches: DataFrame, bridge: DataFrame, keys:
     return joined.select(*keys, *keep, n_col, *(F.coalesce(d, F.lit(0)).alias(d) for d in DIMENSIONS))
 
 
+def line_counts(matched: DataFrame, dims: dict[str, tuple[str, ...]], keep: tuple[str, ...] = ("line_uid",), n_col: str = "n_tokens") -> DataFrame:
+    """As ``wide_features``, for lines that carry their matches (``matching.matched``): nothing is joined or shuffled."""
+    own = matched.select(*keep, n_col, F.transform(F.filter("matches", lambda m: m["nested_in"].isNull()), lambda m: m["entity_id"]).alias("__e"))
+    count = lambda ids: F.size(F.filter("__e", lambda e: e.isin(*ids))) if ids else F.lit(0)
+    return own.select(*keep, n_col, *(count(dims.get(d, ())).cast("long").alias(d) for d in DIMENSIONS))
+
+
 def unpivoted(wide: DataFrame, keys: tuple[str, ...], n_col: str = "n_tokens") -> DataFrame:
     """keys, n_tokens, dim, count, density with a row for every dimension of every line."""
     long = wide.unpivot([*keys, n_col], list(DIMENSIONS), "dim", "count")

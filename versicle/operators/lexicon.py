@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import has_script, normalize
+
 # Controlled vocabularies and the order of the feature dimensions.
 CATEGORIES = ("divine_name", "concept", "narrative", "practice", "ethical", "devotional", "oneness", "scriptural", "identity", "marker", "place", "person", "temporal")
 TRADITIONS = ("sikh", "islamic", "vedantic", "vaishnava", "yogic", "bhakti", "universal")
@@ -51,6 +54,14 @@ class Lexicon:
             found.setdefault(form, []).append(entity)
         return found
 
+    def by_dimension(self) -> dict[str, tuple[str, ...]]:
+        """The entities of each dimension, as ``dimensions_of`` has them."""
+        found: dict[str, tuple[str, ...]] = {d: () for d in DIMENSIONS}
+        for e in self.entities:
+            for d in entity_dimensions(e["category"], e.get("tradition"), e.get("register")):
+                found[d] += (e["id"],)
+        return found
+
     def dimension_frame(self, spark: SparkSession) -> DataFrame:
         """(entity_id, dim): the bridge that every feature aggregate joins with."""
         return dimensions_of(self.entity_frame(spark))
@@ -104,6 +115,18 @@ def problems_of(entity: object) -> list[str]:
     return found
 
 
+def entity_dimensions(category: str | None, tradition: str | None, register: str | None) -> list[str]:
+    """The dimensions an entity counts for; some count for several, some for none."""
+    found = [register] if register in ("perso_arabic", "sanskritic") else []
+    if category in BY_CATEGORY:
+        found.append(BY_CATEGORY[category])
+    if category == "marker" and tradition in ("islamic", "vedantic", "yogic"):
+        found.append("cleric")
+    if category == "divine_name" and tradition in ("sikh", "universal") and register in ("neutral", "sanskritic") or category == "concept" and tradition in ("sikh", "yogic"):
+        found.append("nirgun")
+    return found
+
+
 def dimensions_of(entities: DataFrame) -> DataFrame:
     """(entity_id, dim) of every dimension an entity counts for; some count for several, some for none."""
     register, category, tradition = F.col("register"), F.col("category"), F.col("tradition")
@@ -117,17 +140,50 @@ def dimensions_of(entities: DataFrame) -> DataFrame:
 
 
 def lint(aliases: DataFrame, entities: DataFrame, normalized: Column | None = None) -> DataFrame:
-    """(check, subject, detail) of every issue: ids, vocabularies, aliases shared or alike once normalised, entities without alias."""
-    norm = F.lower(F.col("form")) if normalized is None else normalized
-    one = lambda check, df, subject, detail: df.select(F.lit(check).alias("check"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
-    ids = entities.groupBy("id").agg(F.count("*").alias("n"))
-    shared = aliases.groupBy("form").agg(F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("who"), F.countDistinct("entity_id").alias("n")).filter("n > 1")
-    alike = aliases.groupBy(norm.alias("norm")).agg(F.array_join(F.array_sort(F.collect_set("form")), ",").alias("forms"), F.countDistinct("form").alias("n")).filter("n > 1")
-    bare = entities.join(aliases, entities["id"] == aliases["entity_id"], "left_anti")
-    found = one("unique_ids", ids.filter("n > 1"), F.col("id"), F.col("n"))
-    found = found.unionByName(one("id_pattern", entities.filter(~F.col("id").rlike("^[A-Z][A-Z0-9_]*$")), F.col("id"), F.lit("")))
-    for name, allowed in (("category", CATEGORIES), ("tradition", TRADITIONS), ("register", REGISTERS)):
-        found = found.unionByName(one("controlled_vocab", entities.filter(F.col(name).isNotNull() & ~F.col(name).isin(*allowed)), F.col("id"), F.col(name)))
-    found = found.unionByName(one("required_fields", entities.filter(F.coalesce("canonical_form", F.lit("")) == ""), F.col("id"), F.lit("canonical_form")))
-    found = found.unionByName(one("alias_coverage", bare, F.col("id"), F.lit(""))).unionByName(one("duplicate_alias", shared, F.col("form"), F.col("who")))
-    return found.unionByName(one("normalization_collision", alike, F.col("norm"), F.col("forms")))
+    """(check, severity, subject, detail) of every issue of a lexicon.
+
+    Errors: ids that repeat or break the pattern, fields that are missing, words outside the
+    vocabularies, aliases without form or type, entities without alias. Warnings: a form without a
+    letter of the script, a form that another entity has too, forms of different entities that are
+    alike once normalised (by ``normalize``, if no other normal form is given).
+    """
+    norm = normalize(F.col("form")) if normalized is None else normalized
+
+    def one(check: str, df: DataFrame, subject: Column, detail: Column, severity: str = "ERROR") -> DataFrame:
+        return df.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"))
+
+    def several(keys: Column, name: str, who: str) -> DataFrame:
+        found = aliases.filter(keys.isNotNull()).groupBy(keys.alias(name)).agg(F.array_join(F.array_sort(F.collect_set(who)), ",").alias("all"), F.countDistinct("entity_id").alias("n"))
+        return found.filter("n > 1")
+
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    parts = [
+        one("unique_ids", entities.filter(~blank("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), F.col("id"), F.col("n")),
+        one("id_pattern", entities.filter(~blank("id") & ~F.col("id").rlike("^[A-Z][A-Z0-9_]*$")), F.col("id"), F.lit("")),
+        *(one("required_fields", entities.filter(blank(c)), F.col("id"), F.lit(c)) for c in ("id", "canonical_form", "category")),
+        *(one("controlled_vocab", entities.filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)), F.col("id"), F.col(c)) for c, allowed in (("category", CATEGORIES), ("tradition", TRADITIONS), ("register", REGISTERS))),
+        one("controlled_vocab", aliases.filter(F.col("type").isNotNull() & ~F.col("type").isin(*ALIAS_TYPES)), F.col("entity_id"), F.col("type")),
+        one("schema_conformance", aliases.filter(blank("form") | F.col("type").isNull()), F.col("entity_id"), F.lit("an alias needs form and type")),
+        one("schema_conformance", entities.join(aliases, entities["id"] == aliases["entity_id"], "left_anti"), F.col("id"), F.lit("no alias")),
+        one("alias_coverage", aliases.filter(~blank("form") & ~has_script(F.col("form"))), F.col("entity_id"), F.col("form"), "WARNING"),
+        one("duplicate_alias", several(F.col("form"), "form_", "entity_id"), F.col("form_"), F.col("all"), "WARNING"),
+        one("normalization_collision", several(norm, "norm", "form"), F.col("norm"), F.col("all"), "WARNING"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def lint_files(paths: list[str], base_dir: str = ".") -> list[dict]:
+    """yaml_valid and the other issues of single files that ``lint`` cannot see, as (check, severity, subject, detail) dictionaries."""
+    from pathlib import Path
+
+    found = []
+    for name in paths:
+        try:
+            data = yaml.safe_load(Path(base_dir, name).read_bytes())
+        except (OSError, yaml.YAMLError) as problem:
+            found.append({"check": "yaml_valid", "severity": "ERROR", "subject": str(name), "detail": str(problem)})
+            continue
+        for entity in (data.get("entities") or []) if isinstance(data, dict) else []:
+            for text in problems_of(entity):
+                found.append({"check": "schema_conformance", "severity": "ERROR", "subject": str(name), "detail": text})
+    return found

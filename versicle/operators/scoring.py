@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bucket, percent, sigmoid
+from ..functions.text import bucket, density, percent, sigmoid
 
 
 @dataclass(frozen=True)
@@ -109,6 +109,18 @@ def contexts(lines: DataFrame, matches: DataFrame, long: DataFrame, negations: t
     return found.select("*", has(negations).alias("has_negation"), (has(negations) & has(rituals)).alias("ritual_negation"))
 
 
+def line_contexts(matched: DataFrame, dims: dict[str, tuple[str, ...]], negations: tuple[str, ...] = ("NEGATION", "NEG_"), rituals: tuple[str, ...] = ("RITUAL", "TEERATH", "POOJA", "JANEYU", "TILAK"), keep: tuple[str, ...] = ("line_uid",), n_col: str = "n_tokens") -> DataFrame:
+    """As ``contexts``, for lines that carry their matches (``matching.matched``): nothing is joined or shuffled."""
+    has = lambda xs: F.exists("entity_ids", lambda e: reduce(lambda a, b: a | b, [F.upper(e).contains(x) for x in xs]))
+    own = F.filter("matches", lambda m: m["nested_in"].isNull())
+    found = matched.select(*keep, n_col, F.sort_array(F.transform(own, lambda m: F.struct(m["start"], m["alias_ord"], m["entity_id"], m["form"]))).alias("line_matches"))
+    count = lambda ids: F.size(F.filter("line_matches", lambda m: m["entity_id"].isin(*ids)))
+    each = [F.struct(F.lit(d).alias("dim"), density(count(ids), F.col(n_col)).alias("density")) for d, ids in dims.items() if ids]
+    dense = F.map_from_entries(F.filter(F.array(*each), lambda x: x["density"] > 0)) if each else F.create_map().cast("map<string,double>")
+    found = found.select(*keep, F.array_distinct(F.transform("line_matches", lambda m: m["entity_id"])).alias("entity_ids"), "line_matches", dense.alias("densities"))
+    return found.select("*", has(negations).alias("has_negation"), (has(negations) & has(rituals)).alias("ritual_negation"))
+
+
 def scores(context: DataFrame, config: Scoring, group: str = "group_id", skewed: bool = True) -> DataFrame:
     """``context`` with raw_, ctx_, comb_ and score_ columns of every dimension.
 

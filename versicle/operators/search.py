@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def postings(lines: DataFrame, terms: str, key: str = "line_uid", order: tuple[str, ...] = ("page", "line_number")) -> DataFrame:
-    """(term, n_docs, docs): the lines of each term once each, in corpus order."""
-    each = lines.select(key, *order, F.explode(F.array_distinct(terms)).alias("term"))
-    found = each.groupBy("term").agg(F.sort_array(F.collect_list(F.struct(*order, key))).alias("d"))
-    return found.select("term", F.size("d").cast("long").alias("n_docs"), F.col(f"d.{key}").alias("docs"))
+def postings(lines: DataFrame, terms: str, key: str = "line_uid", order: tuple[str, ...] = ("page", "line_number"), size: int = 50) -> DataFrame:
+    """(term, part, n_docs, docs): the lines of each term once each, in corpus order, in parts of ``size`` pages.
+
+    A part is numbered by its first page. However frequent a term is, one row holds no more than
+    the lines of so many pages.
+    """
+    part = (F.floor((F.col(order[0]) - 1) / size) * size + 1).cast("long")
+    each = lines.select(key, *order, part.alias("part"), F.explode(F.array_distinct(terms)).alias("term"))
+    found = each.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct(*order, key))).alias("d"))
+    return found.select("term", "part", F.size("d").cast("long").alias("n_docs"), F.col(f"d.{key}").alias("docs"))
 
 
 def flat_postings(lines: DataFrame, terms: str, key: str = "line_uid") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,19 +45,21 @@ def bootstrap_ci(values: DataFrame, group: str, value: str, samples: int = 1000,
 
     part = F.pmod(F.xxhash64(group, value), F.lit(parts))
     rows = values.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"), part.alias("part")).groupBy("g", "v", "part").agg(F.count("v").alias("n"))
+    rows = rows.sortWithinPartitions("g", "part", "v")  # a task that runs again draws the same
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for (g, p), own in batch.groupby(["g", "part"], dropna=False):
                 own = own[own["n"] > 0]
+                v, n = own["v"].to_numpy(), own["n"].to_numpy()
+                rng = np.random.default_rng([seed, int(p), zlib.crc32(v.tobytes())])
                 sums, counts = np.zeros(samples), np.zeros(samples)
-                for v, n in zip(own["v"], own["n"], strict=True):
-                    rng = np.random.default_rng([seed, abs(hash((float(v), int(p)))) % (1 << 32)])
-                    drawn = rng.poisson(n, samples)
-                    sums += drawn * v
-                    counts += drawn
-                out.append((g, int(own["n"].sum()), float((own["v"] * own["n"]).sum()), sums.tolist(), counts.tolist()))
+                for i in range(0, len(v), 256):
+                    drawn = rng.poisson(n[i : i + 256, None], (len(v[i : i + 256]), samples))
+                    sums += v[i : i + 256] @ drawn
+                    counts += drawn.sum(axis=0)
+                out.append((g, int(n.sum()), float((v * n).sum()), sums.tolist(), counts.tolist()))
             yield pd.DataFrame(out, columns=["g", "n", "total", "sums", "counts"])
 
     partial = rows.mapInPandas(draw, "g string, n long, total double, sums array<double>, counts array<double>")

@@ -75,13 +75,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATCH_KEYS = ("line_uid", "page", "author", "group_id")
 
 
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with their matches: one scan, nothing shuffled."""
+    return matching.matched(lines(spark, sf_dir), aliases(spark))
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the matcher reads no tokens: column pruning leaves their expressions out of this plan
-    return matching.match(lines(spark, sf_dir), aliases(spark), "text", MATCH_KEYS)
+    return matching.exploded(matched(spark, sf_dir), MATCH_KEYS)
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.wide_features(lines(spark, sf_dir), matches(spark, sf_dir), bridge(spark), ("line_uid",), ("page", "author", "group_id"))
+    return features.line_counts(matched(spark, sf_dir), lexicon().by_dimension(), MATCH_KEYS)
 
 
 def long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +99,6 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
 
 
-_BRIDGE = "perso_arabic sanskritic nirgun sagun_narrative ritual cleric ethical devotional oneness scriptural identity".split()
-assert tuple(_BRIDGE) == DIMENSIONS
-
 SQL_LINES = f"""
 ali AS (SELECT * FROM {_values([(f, e, i, n) for f, e, _, i, n in lexicon().aliases()])} AS t(form, entity_id, alias_ord, n_words)),
 ent AS (SELECT id, category, CAST(tradition AS VARCHAR) AS tradition, CAST(register AS VARCHAR) AS register FROM {_values([(i, c, t, r) for i, c, t, r, _ in ENTITIES])} AS t(id, category, tradition, register)),

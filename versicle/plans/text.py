@@ -37,10 +37,10 @@ def norm_pipeline(spark, sf):
     return docs.select("doc_id", T.normalize(F.concat(F.lit("é; "), F.col("text"), F.lit(" ਂ।੧ ਹੇ॥ "))).alias("text"))
 
 
-@query("norm_policies", """SELECT doc_id, translate(t, 'ੰ', 'ਂ') AS bindi, trim(regexp_replace(regexp_replace(t, '[।॥]', ' \\0 ', 'g'), '\\s+', ' ', 'g')) AS apart, replace(translate(t, 'ੜ', 'ਡ'), '਼', '') AS plain FROM (SELECT doc_id, 'ੜੰ।a॥b਼ ' || substr(text, 1, 40) AS t FROM documents)""")
+@query("norm_policies", """SELECT doc_id, translate(t, 'ੰ', 'ਂ') AS bindi, trim(regexp_replace(regexp_replace(t, '[।॥]', ' \\0 ', 'g'), '\\s+', ' ', 'g')) AS apart, replace(translate(t, 'ੜ', 'ਡ'), '਼', '') AS plain FROM (SELECT doc_id, 'ੜੰ।a॥b਼ ' || text AS t FROM documents)""")
 def norm_policies(spark, sf):
     """STR3, STR4, STR6: the other policies."""
-    t = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("ੜੰ।a॥b਼ "), F.substring("text", 1, 40)).alias("t"))
+    t = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("ੜੰ।a॥b਼ "), F.col("text")).alias("t"))
     return t.select("doc_id", T.nasal(F.col("t"), "bindi").alias("bindi"), T.collapse(T.vishram(F.col("t"), "preserve_separate")).alias("apart"), T.nukta(F.col("t"), "strip").alias("plain"))
 
 
@@ -91,10 +91,32 @@ def lexicon_bridge(spark, sf):
     return base.bridge(spark)
 
 
-@query("lexicon_lint", w("SELECT 'duplicate_alias' AS \"check\", form AS subject, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS detail FROM ali GROUP BY form HAVING count(DISTINCT entity_id) > 1", SQL_LINES))
+#: Rows with one fault or more each, added to the catalogue's lexicon: aliases (form, entity, type) and entities (id, form, category, tradition, register).
+FAULTY_ALIASES = (("OF", "UND", "exact"), (None, "IS", None), ("ਕ", "QUE", "odd"), ("ਖ", "lower", "exact"), ("ਗ", "", "exact"))
+FAULTY_ENTITIES = (("lower", "", "odd", "odd", "odd"), ("ART_EN", "x", "concept", None, None), ("ALONE", "x", None, None, None), ("", "x", "concept", None, None))
+_LINT = f"""al AS (SELECT form, entity_id, 'exact' AS type FROM ali UNION ALL SELECT * FROM {base._values(list(FAULTY_ALIASES))} AS t(form, entity_id, type)),
+en AS (SELECT id, 'x' AS canonical_form, category, tradition, register FROM ent UNION ALL SELECT * FROM {base._values(list(FAULTY_ENTITIES))} AS t(id, canonical_form, category, tradition, register)),
+known AS (SELECT unnest([{", ".join(f"'{x}'" for x in lexicon.CATEGORIES)}]) AS word, 'category' AS kind UNION ALL SELECT unnest([{", ".join(f"'{x}'" for x in lexicon.TRADITIONS)}]), 'tradition' UNION ALL SELECT unnest([{", ".join(f"'{x}'" for x in lexicon.REGISTERS)}]), 'register'),
+vocab AS (SELECT id, 'category' AS kind, category AS word FROM en UNION ALL SELECT id, 'tradition', tradition FROM en UNION ALL SELECT id, 'register', register FROM en)
+SELECT 'unique_ids' AS "check", 'ERROR' AS severity, id AS subject, CAST(count(*) AS VARCHAR) AS detail FROM en WHERE id <> '' GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'id_pattern', 'ERROR', id, '' FROM en WHERE id <> '' AND NOT regexp_full_match(id, '[A-Z][A-Z0-9_]*')
+UNION ALL SELECT 'required_fields', 'ERROR', id, 'id' FROM en WHERE id = '' UNION ALL SELECT 'required_fields', 'ERROR', id, 'canonical_form' FROM en WHERE canonical_form = '' UNION ALL SELECT 'required_fields', 'ERROR', id, 'category' FROM en WHERE category IS NULL
+UNION ALL SELECT 'controlled_vocab', 'ERROR', id, word FROM vocab WHERE word IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.kind = vocab.kind AND k.word = vocab.word)
+UNION ALL SELECT 'controlled_vocab', 'ERROR', entity_id, type FROM al WHERE type NOT IN ('exact', 'prefix', 'suffix')
+UNION ALL SELECT 'schema_conformance', 'ERROR', entity_id, 'an alias needs form and type' FROM al WHERE form IS NULL OR type IS NULL
+UNION ALL SELECT 'schema_conformance', 'ERROR', id, 'no alias' FROM en WHERE id NOT IN (SELECT entity_id FROM al)
+UNION ALL SELECT 'alias_coverage', 'WARNING', entity_id, form FROM al WHERE form IS NOT NULL AND NOT regexp_matches(form, '[\\x{{0A00}}-\\x{{0A7F}}]')
+UNION ALL SELECT 'duplicate_alias', 'WARNING', form, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) FROM al WHERE form IS NOT NULL GROUP BY form HAVING count(DISTINCT entity_id) > 1
+UNION ALL SELECT 'normalization_collision', 'WARNING', lower(form), string_agg(DISTINCT form, ',' ORDER BY form) FROM al WHERE form IS NOT NULL GROUP BY lower(form) HAVING count(DISTINCT entity_id) > 1"""
+
+
+@query("lexicon_lint", f"WITH {SQL_LINES},\n{_LINT}")
 def lexicon_lint(spark, sf):
-    """MAT7, MAT9: issues of the lexicon; here the shared form."""
-    return lexicon.lint(base.aliases(spark), base.entities(spark))
+    """MAT7-MAT9: every check on the catalogue's lexicon with faulty rows added; lower case is the normal form here."""
+    aliases, entities = base.aliases(spark), base.entities(spark).withColumn("canonical_form", F.lit("x"))
+    more = spark.createDataFrame([(f, e, t, 0, 1) for f, e, t in FAULTY_ALIASES], aliases.schema)
+    others = spark.createDataFrame([(i, f, c, t, r, None, False, "") for i, f, c, t, r in FAULTY_ENTITIES], entities.schema)
+    return lexicon.lint(aliases.unionByName(more), entities.unionByName(others), F.lower("form"))
 
 
 @query("match_spans", w('SELECT line_uid, entity_id, form, start, "end", confidence, coalesce(nested_in, \'\') AS nested_in FROM matches'))
