@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from versicle.llm import packing
 from versicle.llm.packing import PieceCache, balance, capacities, op1_pack, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -49,8 +50,21 @@ def test_cache_equals_the_tokenizer():
     alphabet = "abzAZ .,'!<|>\n\té́İΣßñ1٣々»«-#$%&*?;:\x1c don't it's"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|> x<|ENDOFTEXT|>y", "z" * 500, ""]
     for _ in range(2):
-        got = [np.frombuffer(x, "<u2").tolist() for x in cache.ids([t.encode() for t in texts])]
-        assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encoded(cache, texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def encoded(cache, texts):
+    return [x.tolist() for ids, n in cache.ids([t.encode() for t in texts]) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_long_texts_and_other_tokenizers(monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing, "GROUP", 64)
+    texts = ["Ab cd, " * 200, "", "x" * 300, "one two\nthree", " "]
+    assert encoded(PieceCache(tokenizer, "<u2"), texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not packing.parted(other) and packing.parted(tokenizer)
+    assert encoded(PieceCache(other, "<u2"), texts) == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_balance_spreads_cost():

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,83 +20,142 @@ BLOCK_SEQUENCES = 64
 
 
 #: Signs that, after a letter or digit, are a pre-token of their own to the next blank.
-TAIL = ".,;:!?%$#&*"
+TAIL = b".,;:!?%$#&*"
+#: Pre-tokens of vocabularies with word ends (a fixed value): none spans white space, and white space is dropped.
+WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Bytes of text whose parts are told apart together.
+GROUP = 4 << 20
+
+
+def parted(tokenizer) -> bool:
+    """Whether a tokenizer's file says that it lower-cases and cuts by WORD_PARTS, so that parts between blanks can be encoded alone."""
+    told = json.loads(tokenizer.to_str())
+    normal, cut = ((told[k] or {}) for k in ("normalizer", "pre_tokenizer"))
+    kinds = [x["type"] for x in normal.get("normalizers", [normal]) if x]
+    first = (cut.get("pretokenizers") or [cut])[0]
+    removed = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    return bool("Lowercase" in kinds and removed and first["pattern"].get("Regex") == WORD_PARTS and told["model"].get("end_of_word_suffix") == "</w>")
 
 
 class PieceCache(dict):
     """A text's part between blanks -> its token ids as bytes.
 
-    Holds for tokenizers that lower-case and whose pre-tokens never span white space and drop it,
-    so that a text's ids are those of its parts in order, and those of a word with signs after it
-    are the word's and the signs'. Unknown parts of a group of texts are encoded in one call. At
-    ``most`` entries only those met again since the last time stay; parts of over 64 bytes are
-    not kept.
+    For tokenizers that are ``parted``: a text's ids are those of its parts in order, and those of a
+    word with signs after it are the word's and the signs'. The parts of a group of texts are told
+    apart by Arrow, so that each distinct one is looked up once; unknown ones are encoded in one
+    call. Any other tokenizer encodes whole texts. At ``most`` entries only those met again since
+    the last time stay; parts of over 64 bytes are not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 400_000):
+    def __init__(self, tokenizer, kind: str, most: int = 300_000):
         super().__init__()
-        self.tokenizer, self.kind, self.most = tokenizer, kind, most
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.kind, self.width, self.most, self.parted = tokenizer, kind, int(kind[2]), most, parted(tokenizer)
         self.again: set[bytes] = set()
+        self.letters = Tokenizer(tokenizer.model)
+        self.letters.pre_tokenizer = WhitespaceSplit()
         vocabulary = tokenizer.get_vocab(True)
-        self.ends = None
-        if any(x.endswith("</w>") for x in vocabulary):
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        found: list[bytes] = []
+    def ids(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text) of the texts, group by group, in order; a text over GROUP bytes is a group of its own."""
         i = 0
         while i < len(texts):
-            group, size = [], 0
-            while i < len(texts) and (not group or size + len(texts[i]) < 1 << 21):
-                x = texts[i].replace(b"\n", b" ")
-                group.append((x if b"<|" in x else x.lower()).split(b" "))  # special tokens are not lower-cased
-                size += len(x)
-                i += 1
-            parts = set().union(*group)
-            known = parts & self.keys()
-            self.again |= known
-            if len(self) + len(parts) - len(known) > self.most:
-                kept = {x: self[x] for x in self.again} if len(self.again) < self.most // 2 else {}
-                self.clear()
-                self.update(kept)
-                self.again = set()
-                known = parts & self.keys()
-            long = self._learn(parts - known)
-            found += [b"".join(map(self.__getitem__, x)) for x in group]
-            for x in long:
+            j, size = i + 1, len(texts[i])
+            while j < len(texts) and size + len(texts[j]) < GROUP:
+                size += len(texts[j])
+                j += 1
+            group = texts[i:j]
+            if not self.parted:
+                found = [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast([x.decode() for x in group], add_special_tokens=False)]
+                yield np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+            elif size < 2 * GROUP:
+                yield self._group(group)
+            else:  # one long text, in pieces that end at blanks
+                found = [self._group([x])[0] for x in blank_pieces(group[0], GROUP)]
+                ids = np.concatenate(found)
+                yield ids, np.array([len(ids)])
+            i = j
+
+    def _group(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [x if b"<|" in x else x.lower() for x in texts]  # special tokens are not lower-cased
+        parts = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.binary()), b"\n", b" "), b" ")
+        told = parts.flatten().dictionary_encode()
+        _, edges, data = told.dictionary.buffers()
+        edges, data = np.frombuffer(edges, np.int32)[: len(told.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+        values = self._values(list(map(data.__getitem__, map(slice, edges, edges[1:]))))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        pool, starts = np.frombuffer(b"".join(values), self.kind), np.cumsum(sizes) - sizes
+        which = told.indices.to_numpy()
+        own = sizes[which]
+        ends = np.cumsum(own)
+        at = np.repeat(starts[which] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)
+        return pool[at], np.diff(np.concatenate([[0], ends])[parts.offsets.to_numpy()])
+
+    def _values(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part; a word and the signs after it are looked up by themselves."""
+        stems, tails = parts.copy(), {}
+        for i, x in enumerate(parts):
+            stem = x.rstrip(TAIL)
+            if len(stem) < len(x) and ends_word(stem):
+                stems[i], tails[i] = stem, x[len(stem) :]
+        want = {*stems, *tails.values()}
+        known = want & self.keys()
+        self.again |= known
+        if len(self) + len(want) - len(known) > self.most:
+            kept = {x: self[x] for x in self.again} if len(self.again) < self.most // 2 else {}
+            self.clear()
+            self.update(kept)
+            known, self.again = want & self.keys(), set()
+        unknown = list(want - known)
+        self.update(zip(unknown, self._encode([x.decode() for x in unknown]), strict=True))
+        found = list(map(self.__getitem__, stems))
+        for i, tail in tails.items():
+            found[i] += self[tail]
+        for x in unknown:
+            if len(x) > 64:
                 del self[x]
-                self.again.discard(x)
         return found
 
-    def _learn(self, parts: set[bytes]) -> list[bytes]:
-        cut = {}
-        for part in parts:
-            text = part.decode()
-            stem = text.rstrip(TAIL)
-            cut[part] = (stem, text[len(stem) :]) if stem != text and stem[-1:].lower().isalnum() else (text,)
-        want = list({x for xs in cut.values() for x in xs if x.encode() not in self})
-        for text, ids in zip(want, self._encode(want), strict=True):
-            self[text.encode()] = ids
-        for part, xs in cut.items():
-            if len(xs) > 1:
-                self[part] = self[xs[0].encode()] + self[xs[1].encode()]
-        return [x for x in {*parts, *(x.encode() for x in want)} if len(x) > 64]
-
-
     def _encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Words of letters alone go as one text, parted again at the ids that end a word."""
-        if self.ends is None:
-            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain = [x.isalpha() for x in texts]
-        joined = self.tokenizer.encode_batch_fast([" ".join(x for x, ok in zip(texts, plain, strict=True) if ok)], add_special_tokens=False)[0].ids
-        ids = np.array(joined, self.kind)
-        edges = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()] if len(ids) else [0]
-        if len(edges) - 1 != sum(plain):  # some letter became two pre-tokens
-            return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = iter(zip(edges, edges[1:], strict=False))
-        others = iter(self.tokenizer.encode_batch_fast([x for x, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False))
-        return [ids[slice(*next(words))].tobytes() if ok else np.array(next(others).ids, self.kind).tobytes() for ok in plain]
+        """Ids of each text. Words of letters alone go as one text, those of ASCII past the normaliser, which has nothing to do there."""
+        found: dict[str, bytes] = {}
+        words = [x for x in texts if x.isalpha()]
+        ascii_ = [x for x in words if x.isascii() and x.islower()]
+        for tokenizer, own in ((self.letters, ascii_), (self.tokenizer, list({*words} - {*ascii_}))):
+            found.update(zip(own, self._joined(tokenizer, own), strict=True))
+        rest = [x for x in texts if x not in found]
+        found.update(zip(rest, self._each(rest), strict=True))
+        return [found[x] for x in texts]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, tokenizer, words: list[str]) -> list[bytes]:
+        """Ids of each word, encoded as one text and parted again at the ids that end a word."""
+        raw = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        edges = [0, *((np.flatnonzero(self.ends[raw]) + 1) * self.width).tolist()] if len(raw) else [0]
+        if len(edges) - 1 != len(words):  # some letter became two pre-tokens
+            return self._each(words)
+        return list(map(raw.tobytes().__getitem__, map(slice, edges, edges[1:])))
+
+
+def ends_word(text: bytes) -> bool:
+    """Whether the last character is a letter or digit."""
+    return bool(text) and (text[-1:].isalnum() or text[-1] > 127 and text.decode()[-1].lower().isalnum())
+
+
+def blank_pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end at a blank; a longer run without blanks stays whole."""
+    i = 0
+    while i < len(text):
+        j = text.find(b" ", i + size)
+        j = len(text) if j < 0 else j
+        yield text[i:j]
+        i = j
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,15 +174,20 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
             tokenizer = Tokenizer.from_file(tokenizer_path)
             held["pieces", tokenizer_path] = PieceCache(tokenizer, "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4")
         cache = held["pieces", tokenizer_path]
-        kind = cache.kind
-        width, end = int(kind[2]), b"" if end_id is None else np.array([end_id], kind).tobytes()
+        width, end = cache.width, None if end_id is None else np.array(end_id, cache.kind)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in cache.ids(raw_bytes(batch.column(1)))]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-            starts = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(np.full(len(ids), width, np.int32))], ["doc_id", "ids", "n_ids", "part", "part_start", "width"])
+            row = 0
+            for own, sizes in cache.ids(raw_bytes(batch.column(1))):
+                if end is not None:
+                    own, sizes = np.insert(own, np.cumsum(sizes), end), sizes + 1
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                starts = before + edges[:-1]
+                before += int(edges[-1])
+                n, raw = len(sizes), own.tobytes()
+                ids = pa.array([raw[a:b] for a, b in zip((edges[:-1] * width).tolist(), (edges[1:] * width).tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), ids, pa.array(sizes), pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(np.full(n, width, np.int32))], ["doc_id", "ids", "n_ids", "part", "part_start", "width"])
+                row += n
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
 
