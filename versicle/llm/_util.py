@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import sys
+import ctypes
+import gc
 import tempfile
-import types
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +49,31 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def worker_memory() -> dict:
-    """A dictionary that lives as long as the Python worker, which Spark reuses from task to task."""
-    return sys.modules.setdefault("_versicle_worker", types.ModuleType("_versicle_worker")).__dict__
+def tidy(run: Callable) -> Callable:
+    """``run`` (a function of Arrow batches) on slices of at most 512 rows; what its task held goes back to the machine at the end.
+
+    Spark keeps Python workers from task to task, and their allocators keep freed memory; without
+    this each operator starts on top of what the ones before it needed.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batch.slice(i, 512) for batch in batches for i in range(0, batch.num_rows, 512))
+        release_memory()
+
+    return whole
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def raw_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column (null: empty), without decoding."""
-    import pyarrow as pa
-
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 

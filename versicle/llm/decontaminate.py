@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import HashCache, id_text, mix64, raw_bytes, stage
+from ._util import HashCache, id_text, mix64, raw_bytes, stage, tidy
 
 #: Masks of 5 words: a window matches a mask if the words at its ones agree. Every pattern of
 #: substitutions along one diagonal that ``verify`` accepts leaves one of them whole (a test enumerates them).
@@ -235,7 +235,7 @@ def suspects(docs: DataFrame, filter_: SeedFilter, short: list[int]) -> DataFram
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "doc_id", "words", "hits"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, words binary, hits array<struct<hash:long,at:long>>")
+    return docs.mapInArrow(tidy(run), "row long, doc_id long, words binary, hits array<struct<hash:long,at:long>>")
 
 
 def facing(asked: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def facing(asked: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "doc_id", "item", "at", "thens", "base", "part"])
 
-    return asked.mapInArrow(run, "row long, doc_id long, item long, at long, thens array<long>, base long, part binary")
+    return asked.mapInArrow(tidy(run), "row long, doc_id long, item long, at long, thens array<long>, base long, part binary")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -299,7 +299,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             columns = zip(*out, strict=True) if out else [[]] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in f"row long, item long, at long, {SCHEMA}".split(", ")])
 
-    verified = faced.select("row", "doc_id", "item", "at", "thens", "base", "part", "item_id", "words").mapInArrow(run, f"row long, item long, at long, {SCHEMA}")
+    verified = faced.select("row", "doc_id", "item", "at", "thens", "base", "part", "item_id", "words").mapInArrow(tidy(run), f"row long, item long, at long, {SCHEMA}")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     best = verified.groupBy("row", "item").agg(F.min_by(F.struct(*names), F.struct(-F.col("n_equal"), "at")).alias("best"))
     return best.select("best.*")

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import HashCache, id_text, mix64, raw_bytes
+from ._util import HashCache, id_text, mix64, raw_bytes, tidy
 
 #: Opening paragraphs and usual notices of public licences, by family.
 TEMPLATES = {
@@ -315,7 +315,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
                     best[key] = near, p, sure
         return [(held[o][0], number, family, p, near, sure) for (o, number, family), (near, p, sure) in sorted(best.items())]
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:

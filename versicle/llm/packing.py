@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import id_text, raw_bytes, stage, worker_memory
+from ._util import id_text, raw_bytes, stage, tidy
 
 #: Sequences packed together; a block is this many sequences, whatever the size of the corpus.
 BLOCK_SEQUENCES = 64
@@ -24,7 +24,7 @@ TAIL = b".,;:!?%$#&*"
 #: Pre-tokens of vocabularies with word ends (a fixed value): none spans white space, and white space is dropped.
 WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Bytes of text whose parts are told apart together.
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 
 def parted(tokenizer) -> bool:
@@ -47,7 +47,7 @@ class PieceCache(dict):
     the last time stay; parts of over 64 bytes are not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 300_000):
+    def __init__(self, tokenizer, kind: str, most: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -169,11 +169,8 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        held = worker_memory()
-        if ("pieces", tokenizer_path) not in held:
-            tokenizer = Tokenizer.from_file(tokenizer_path)
-            held["pieces", tokenizer_path] = PieceCache(tokenizer, "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4")
-        cache = held["pieces", tokenizer_path]
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        cache = PieceCache(tokenizer, "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4")
         width, end = cache.width, None if end_id is None else np.array(end_id, cache.kind)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -189,7 +186,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), ids, pa.array(sizes), pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(np.full(n, width, np.int32))], ["doc_id", "ids", "n_ids", "part", "part_start", "width"])
                 row += n
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
 
 
 def balance(lengths: np.ndarray, capacities: np.ndarray, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -273,7 +270,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int |
         take = table.take(pa.array(d))
         return pa.table({"doc_id": take["doc_id"], "start": pa.array(take["start"].to_numpy() + a), "length": pa.array(n), "ids": pa.array(wide, pa.binary()), "doc_tokens": take["doc_tokens"], "sequence_id": pa.array(first + k), "offset": pa.array(offset), "sequence_length": pa.array(room[k])})
 
-    pieces = placed.mapInArrow(cut, "block long, at long, doc_id long, start long, ids binary, doc_tokens long, width int")
+    pieces = placed.mapInArrow(tidy(cut), "block long, at long, doc_id long, start long, ids binary, doc_tokens long, width int")
     return pieces.groupBy("block").applyInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long")
 
 

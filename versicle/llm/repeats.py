@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._util import GramHash, raw_bytes, shuffle_partitions, stage
+from ._util import GramHash, raw_bytes, shuffle_partitions, stage, tidy
 
 #: Bytes of an anchor; bytes of text that are combined before anything is shuffled.
 ANCHOR, CHUNK = 32, 16 << 20
@@ -171,7 +171,7 @@ def hot_anchors(source: DataFrame, least: int, k: int) -> np.ndarray:
             key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([None, *key.view(np.int64).tolist()], pa.int64()), pa.array([len(found), *n.tolist()], pa.int64())], ["key", "n"])
 
-    counts = source.select("__text").sample(SAMPLE_SHARE, 5).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = source.select("__text").sample(SAMPLE_SHARE, 5).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("key").isNull() | (F.col("n") > 8)).orderBy(F.col("key").isNotNull(), F.desc("n"), "key").limit(HOT_KEYS + 1).collect()
     texts = sum(r["n"] for r in top if r["key"] is None)
     return np.sort(np.array([r["key"] for r in top if r["key"] is not None and r["n"] > texts * HOT_SHARE], np.int64).view(np.uint64))
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
         n, m = done.shape[1], len(ask[0])
         return pa.table({"asked": pa.array(np.arange(n + m) >= n), "key": pa.array(np.concatenate([np.zeros(n, np.int64), ask[0]])), **{c: pa.array(np.concatenate([d, a])) for c, d, a in zip(("doc", "at", "size"), done, ask[1:], strict=True)}})
 
-    met = stage(source.mapInArrow(gather, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "asked boolean, key long, doc long, at long, size long"), "anchors")
+    met = stage(source.mapInArrow(tidy(gather), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "asked boolean, key long, doc long, at long, size long"), "anchors")
     place = [F.col("doc").alias("__doc"), F.shiftright("at", TAG).alias("__tag"), F.col("at").bitwiseAND(F.lit((1 << TAG) - 1)).alias("at")]
     asked = met.filter("asked").select("key", *place, "size").groupBy("__doc", "__tag").agg(F.collect_list(F.struct("key", "at", "size")).alias("asks"))
 
@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                     out = [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(),) * 3 + (pa.binary(),), strict=True)], ["key", "doc", "at", "context"])
 
-    contexts = source.join(asked, ["__doc", "__tag"]).select("__doc", "__text", "__tag", "asks").mapInArrow(cut, "key long, doc long, at long, context binary")
+    contexts = source.join(asked, ["__doc", "__tag"]).select("__doc", "__text", "__tag", "asks").mapInArrow(tidy(cut), "key long, doc long, at long, context binary")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, found = None, [], []
@@ -294,7 +294,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
         a = np.array(found, np.int64).reshape(-1, 3)
         return pa.RecordBatch.from_arrays([pa.array(a[:, i]) for i in range(3)], ["doc", "at", "size"])
 
-    late = contexts.repartition(buckets, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(scan, "doc long, at long, size long")
+    late = contexts.repartition(buckets, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(tidy(scan), "doc long, at long, size long")
     spans = met.filter("not asked").select("doc", "at", "size").unionByName(late).select(*place, "size")
     return spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("at", "size")).alias("__spans"))
 
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [x[1] for x in out], [x[2] for x in out]))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     found = _with_spans(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), least, "doc_id", "text")
-    return found.select("doc_id", "__text", "__spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return found.select("doc_id", "__text", "__spans").mapInArrow(tidy(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def _flat(spans: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -382,7 +382,7 @@ def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     found = _with_spans(docs, least, id_col, text_col)
-    return found.select(*(found[c] for c in names), "__spans").mapInArrow(run, schema)
+    return found.select(*(found[c] for c in names), "__spans").mapInArrow(tidy(run), schema)
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:

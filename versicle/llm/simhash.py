@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import id_text, raw_bytes, shuffle_partitions, stage
+from ._util import id_text, raw_bytes, shuffle_partitions, stage, tidy
 from .components import connected_components
 
 BYTES = 8
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
             fps = np.array([simhash(x, k) for x in raw_bytes(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "own", "fp"])
 
-    return id_text(docs, id_col, text_col).withColumn("own", own_hash()).mapInArrow(run, "doc_id long, own long, fp long")
+    return id_text(docs, id_col, text_col).withColumn("own", own_hash()).mapInArrow(tidy(run), "doc_id long, own long, fp long")
 
 
 def own_hash(id_: str = "doc_id", text: str = "text") -> F.Column:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import tidy
+
 #: Pre-tokens of the byte-level vocabularies (a fixed value: the published pattern of that family).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LINE = re.compile(r"[^\n]+")
@@ -124,7 +126,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, rule: str = "majority", id_co
     columns = [docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")]
     if sections_col:
         columns.append(docs[sections_col].alias("sections"))
-    return docs.select(*columns).mapInArrow(run, SCHEMA)
+    return docs.select(*columns).mapInArrow(tidy(run), SCHEMA)
 
 
 SCHEMA = "doc_id long, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long"

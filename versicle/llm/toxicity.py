@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import stage
+from ._util import release_memory, stage, tidy
 
 #: Labelled rows to fit on, at most; parts they are dealt to, so that a row is scored by terms and trees of the others.
 FIT_ROWS, FOLDS = 4000, 4
@@ -121,7 +121,7 @@ def unit_counts(sample: DataFrame) -> DataFrame:
                 found.update((2 * fold + y, u) for u in {u for w in words for u in units(w)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([u for _, u in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "unit", "n"])
 
-    each = sample.select("fold", "y", "text").mapInArrow(run, "kind int, unit string, n long")
+    each = sample.select("fold", "y", "text").mapInArrow(tidy(run), "kind int, unit string, n long")
     own = lambda y: F.array(*(F.coalesce(F.sum(F.when(F.col("kind") == 2 * f + y, F.col("n"))), F.lit(0)) for f in range(FOLDS)))
     return each.groupBy("unit").agg(own(1).alias("with"), own(0).alias("without"))
 
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             own = [features(t, facts[k]).tolist() for k, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.float32()))], ["doc_id", "fold", "y", "x"])
 
-    made = sample.mapInArrow(run, "doc_id long, fold int, y int, x array<float>").orderBy("doc_id").collect()  # FEATURES of at most `rows` rows
+    made = sample.mapInArrow(tidy(run), "doc_id long, fold int, y int, x array<float>").orderBy("doc_id").collect()  # FEATURES of at most `rows` rows
     x, y, fold = (np.array([r[c] for r in made], t) for c, t in (("x", np.float32), ("y", np.float64), ("fold", np.int64)))
     return Model().fit(x, y, fold, learn_terms(counts, sizes, list(range(FOLDS))))
 
@@ -281,7 +281,10 @@ def scorer(spark: SparkSession, model: Model):
         fitted = pickle.loads(shared.value)
         facts = WordFacts(fitted.terms)
         for part in texts:
-            yield pd.Series(fitted([x or "" for x in part], facts), dtype="float64")
+            own = [fitted([x or "" for x in part[i : i + 512]], facts) for i in range(0, len(part), 512)]
+            yield pd.Series(np.concatenate(own) if own else [], dtype="float64")
+        facts = None
+        release_memory()
 
     return scored
 
