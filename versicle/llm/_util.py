@@ -49,15 +49,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` (a function of Arrow batches) on slices of at most 512 rows; what its task held goes back to the machine at the end.
+def tidy(run: Callable, rows: int = 512) -> Callable:
+    """``run`` (a function of Arrow batches) on slices of at most ``rows`` rows; what its task held goes back to the machine at the end.
 
     Spark keeps Python workers from task to task, and their allocators keep freed memory; without
     this each operator starts on top of what the ones before it needed.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batch.slice(i, 512) for batch in batches for i in range(0, batch.num_rows, 512))
+        yield from run(batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
         release_memory()
 
     return whole

@@ -24,17 +24,16 @@ TAIL = b".,;:!?%$#&*"
 #: Pre-tokens of vocabularies with word ends (a fixed value): none spans white space, and white space is dropped.
 WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Bytes of text whose parts are told apart together.
-GROUP = 2 << 20
+GROUP = 4 << 20
 
 
 def parted(tokenizer) -> bool:
     """Whether a tokenizer's file says that it lower-cases and cuts by WORD_PARTS, so that parts between blanks can be encoded alone."""
-    told = json.loads(tokenizer.to_str())
-    normal, cut = ((told[k] or {}) for k in ("normalizer", "pre_tokenizer"))
+    normal, cut = (json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
     kinds = [x["type"] for x in normal.get("normalizers", [normal]) if x]
     first = (cut.get("pretokenizers") or [cut])[0]
     removed = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    return bool("Lowercase" in kinds and removed and first["pattern"].get("Regex") == WORD_PARTS and told["model"].get("end_of_word_suffix") == "</w>")
+    return bool("Lowercase" in kinds and removed and first["pattern"].get("Regex") == WORD_PARTS and getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>")
 
 
 class PieceCache(dict):
@@ -47,7 +46,7 @@ class PieceCache(dict):
     the last time stay; parts of over 64 bytes are not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 200_000):
+    def __init__(self, tokenizer, kind: str, most: int = 300_000):
         super().__init__()
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -186,7 +185,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), ids, pa.array(sizes), pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(np.full(n, width, np.int32))], ["doc_id", "ids", "n_ids", "part", "part_start", "width"])
                 row += n
 
-    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, 2500), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
 
 
 def balance(lengths: np.ndarray, capacities: np.ndarray, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
