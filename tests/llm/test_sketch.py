@@ -33,10 +33,23 @@ def test_edges(spark, edges, empty):
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=key) == sorted(expected(rows), key=key)
     assert compare_with_next(empty).count() == 0
     one = compare_with_next(edges.filter("doc_id = 1")).first()
-    assert one.near_next == 1.0 and one.fingerprint.startswith(one.fingerprint[:16])
+    assert one.near_next == 1.0 and one.fingerprint == sketches(edges.filter("doc_id = 1")).first().fingerprint
     assert sketches(edges).count() == edges.count()
 
 
+def test_likenesses_equal_plain_containment(spark, small):
+    """near_edited and near_next from whole sets of retained shingle hashes."""
+    sketcher = Sketcher()
+    order = sorted(((r.doc_id, r.text) for r in small.collect()), reverse=True)
+    want = {}
+    for i, (d, t) in enumerate(order):
+        after, half = order[(i + 1) % len(order)][1], len(t) // 2
+        own, edited, other = (set(sketcher(x.encode()).tolist()) for x in (t, t[: len(t) - half] + after[:half], after))
+        like = lambda a, b, same: 1.0 if same else len(a & b) / min(len(a), len(b)) if a and b else 0.0
+        want[d] = round(like(own, edited, t == t[: len(t) - half] + after[:half]), 9), round(like(own, other, t == after), 9)
+    assert {r.doc_id: (round(r.near_edited, 9), round(r.near_next, 9)) for r in compare_with_next(small).collect()} == want
+
+
 def test_sketch_estimates_containment_and_merges():
     sketcher = Sketcher(scale=4)
     part, other = b" ".join(b"w%d" % i for i in range(4000)), b" ".join(b"v%d" % i for i in range(40_000))
