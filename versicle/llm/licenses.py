@@ -153,7 +153,10 @@ class LicenceModel:
         grams = [np.concatenate(gram_buckets(p)) for p in pieces]
         n, classes = len(pieces), len(self.families)
         piece = np.repeat(np.arange(n), np.fromiter(map(len, grams), np.int64, n))
+        firsts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, grams), np.int64, n))[:-1]])  # every piece has a word
         used, slot = np.unique(np.concatenate(grams), return_inverse=True)
+        by_slot = np.argsort(slot, kind="stable")
+        heads, owner = np.searchsorted(slot[by_slot], np.arange(len(used))), piece[by_slot]
         norm = 1 / np.sqrt(np.maximum(np.bincount(piece, minlength=n), 1))
         truth = np.eye(classes, dtype=np.float32)[y]
         share = 1 / np.maximum(np.bincount(y, minlength=classes), 1)[y]
@@ -161,11 +164,9 @@ class LicenceModel:
         weight, bias = np.zeros((len(used), classes), np.float32), np.zeros(classes, np.float32)
         past, past_bias = np.full(weight.shape, 1e-2, np.float32), np.full(classes, 1e-2, np.float32)
         for _ in range(rounds):
-            rows = weight[slot]
-            raw = np.stack([np.bincount(piece, rows[:, c], n) for c in range(classes)], axis=1) * norm[:, None] + bias
+            raw = np.add.reduceat(weight[slot], firsts, axis=0) * norm[:, None] + bias
             error = (softmax(raw) - truth) * share[:, None] / n
-            spread = (error * norm[:, None])[piece]
-            grad = np.stack([np.bincount(slot, spread[:, c], len(used)) for c in range(classes)], axis=1) + 1e-6 * weight
+            grad = np.add.reduceat((error * norm[:, None]).astype(np.float32)[owner], heads, axis=0) + 1e-6 * weight
             past += grad**2
             weight -= rate * grad / np.sqrt(past + 1e-8)
             past_bias += error.sum(0) ** 2
