@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: From malloc.h (a fixed value).
+M_MMAP_THRESHOLD = -3
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -53,10 +55,12 @@ def tidy(run: Callable, rows: int = 512) -> Callable:
     """``run`` (a function of Arrow batches) on slices of at most ``rows`` rows; what its task held goes back to the machine at the end.
 
     Spark keeps Python workers from task to task, and their allocators keep freed memory; without
-    this each operator starts on top of what the ones before it needed.
+    this each operator starts on top of what the ones before it needed. Blocks over 1 MB are
+    mapped by themselves, so that freeing one gives it back at once.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c_library("mallopt", M_MMAP_THRESHOLD, 1 << 20)
         yield from run(batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
         release_memory()
 
@@ -66,9 +70,14 @@ def tidy(run: Callable, rows: int = 512) -> Callable:
 def release_memory() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
+    c_library("malloc_trim", 0)
+
+
+def c_library(function: str, *args: int) -> None:
+    """Call a function of the GNU C library; nothing where there is another."""
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
+        getattr(ctypes.CDLL("libc.so.6"), function)(*args)
+    except (OSError, AttributeError):
         pass
 
 

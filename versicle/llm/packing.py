@@ -23,8 +23,10 @@ BLOCK_SEQUENCES = 64
 TAIL = b".,;:!?%$#&*"
 #: Pre-tokens of vocabularies with word ends (a fixed value): none spans white space, and white space is dropped.
 WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Unknown parts that are encoded in one call.
+CALL = 8192
 #: Bytes of text whose parts are told apart together.
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 
 def parted(tokenizer) -> bool:
@@ -46,7 +48,7 @@ class PieceCache(dict):
     the last time stay; parts of over 64 bytes are not kept.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 300_000):
+    def __init__(self, tokenizer, kind: str, most: int = 150_000):
         super().__init__()
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -86,13 +88,15 @@ class PieceCache(dict):
         _, edges, data = told.dictionary.buffers()
         edges, data = np.frombuffer(edges, np.int32)[: len(told.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
         values = self._values(list(map(data.__getitem__, map(slice, edges, edges[1:]))))
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
-        pool, starts = np.frombuffer(b"".join(values), self.kind), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // np.int32(self.width)
+        pool, starts = np.frombuffer(b"".join(values), self.kind), np.cumsum(sizes, dtype=np.int32) - sizes
+        del values
         which = told.indices.to_numpy()
         own = sizes[which]
-        ends = np.cumsum(own)
-        at = np.repeat(starts[which] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)
-        return pool[at], np.diff(np.concatenate([[0], ends])[parts.offsets.to_numpy()])
+        ends = np.cumsum(own, dtype=np.int32)  # a text has fewer ids than bytes, and those are below 2**31
+        at = np.repeat(starts[which] - ends + own, own)
+        at += np.arange(len(at), dtype=np.int32)
+        return pool[at], np.diff(np.concatenate([np.zeros(1, np.int32), ends])[parts.offsets.to_numpy()]).astype(np.int64)
 
     def _values(self, parts: list[bytes]) -> list[bytes]:
         """Ids of each part; a word and the signs after it are looked up by themselves."""
@@ -110,7 +114,8 @@ class PieceCache(dict):
             self.update(kept)
             known, self.again = want & self.keys(), set()
         unknown = list(want - known)
-        self.update(zip(unknown, self._encode([x.decode() for x in unknown]), strict=True))
+        for i in range(0, len(unknown), CALL):
+            self.update(zip(unknown[i : i + CALL], self._encode([x.decode() for x in unknown[i : i + CALL]]), strict=True))
         found = list(map(self.__getitem__, stems))
         for i, tail in tails.items():
             found[i] += self[tail]
@@ -185,7 +190,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), ids, pa.array(sizes), pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(np.full(n, width, np.int32))], ["doc_id", "ids", "n_ids", "part", "part_start", "width"])
                 row += n
 
-    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, 2500), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, 2048), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
 
 
 def balance(lengths: np.ndarray, capacities: np.ndarray, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
