@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, met by the positional bytes of their SimHashes."""
     return nearcopies.one_of_each(docs)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from versicle.llm import nearcopies
 from versicle.llm.nearcopies import near_copies, one_of_each
 
 
@@ -41,6 +42,40 @@ def test_large_group(spark):
     assert len(got) == 400 and {r.component_id for r in got} == {0}
 
 
+def test_positional_bytes(spark):
+    """Who meets in a list of two positional bytes, and whom the tally of all of them lets pass."""
+    rng = random.Random(7)
+    own = [rng.randrange(256) for _ in range(nearcopies.BYTES)]
+
+    def sharing(places):
+        """own with one bit changed in every other byte, and the size of a set."""
+        return bytearray([x if i in places else x ^ 1 << rng.randrange(8) for i, x in enumerate(own)] + [200] + [0] * 7)
+
+    even = list(range(0, nearcopies.BYTES, 2))
+    some = even[1 : nearcopies.TALLY]
+    rows = [(0, sharing(range(nearcopies.BYTES))), (1, sharing([*some, 3])), (2, sharing([*some[:-1], 3])), (3, sharing(even))]
+    nodes = spark.createDataFrame(rows, "node long, wide binary")
+    met = nearcopies._met(nearcopies.postings(nodes), nearcopies._first)
+    assert nearcopies.postings(nodes).count() == 4 * nearcopies.BYTES // 2
+    assert {0, 1, 2} <= {r[x] for r in met.collect() for x in "ab"}
+    assert (0, 3) not in {(r.a, r.b) for r in met.collect()}
+    passed = {(r.a, r.b) for r in nearcopies.tallied(met, nodes, 0.8).collect()}
+    assert (0, 1) in passed and (0, 2) not in passed
+
+
+def test_pairs_in_a_crowd(spark):
+    """Pairs just over 0.8 among texts that are all just below it to each other: each pair is found."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    base, rows = words(260), []
+    for i in range(0, 240, 2):
+        both = base + words(4)
+        rows += [(i, " ".join(both + words(32))), (i + 1, " ".join(both + words(32)))]
+    assert jaccard(rows[0][1], rows[2][1]) < 0.8 < jaccard(rows[0][1], rows[1][1])
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_edges(spark, edges, empty):
     got = near_copies(edges).collect()
     assert len(got) == edges.count()

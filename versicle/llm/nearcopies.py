@@ -1,4 +1,4 @@
-"""Near copies by exact shingle Jaccard: candidates from MinHash bands and a wide SimHash, then verified."""
+"""Near copies by exact shingle Jaccard: candidates from a positional-byte index of a wide SimHash, then verified."""
 
 from __future__ import annotations
 
@@ -13,119 +13,188 @@ from ._util import id_text, mix64, raw_bytes, release_memory, shuffle_partitions
 from .components import connected_components
 from .simhash import kept_of, own_hash, shingle_hashes
 
-#: A pair of similarity s meets unless it differs in every band: (1 - s**5)**24, 7 in 100,000 at 0.8.
-BANDS, ROWS = 24, 5
-#: Bits of the wide SimHash, and the most of them in which a candidate pair differs, also with a set of up to
-#: SMALL shingles. At similarity 0.8 the mean is 78 with a deviation of 8 (96 and 9 for sets of four and five).
-BITS, FAR, FAR_SMALL, SMALL = 512, 112, 140, 20
-#: A band's list gives all its pairs up to FEW members; beyond, its minimum spanning tree by SimHash
-#: distance and each member's NEAREST. A list over LONG is dealt twice, at random, to parts of about that size.
-FEW, NEAREST, LONG = 16, 4, 800
+#: Positional bytes of the wide SimHash. Their lists are intersected two at a time (bytes 2i and 2i + 1). At
+#: similarity 0.8 a byte is equal with a probability of 0.27, so a pair meets in none of the 128 lists with one of 4
+#: in 100,000 (small sets: 4 in 10,000 for twelve shingles of fifteen, 1 in 100 for four of five, the worst case).
+BYTES = 256
+#: Bytes that a posting carries, and the most bits in which they differ in a pair that is tallied (mean 19,
+#: deviation 4; 24 and 4 for four shingles of five; 64 and 6 for texts that share nothing).
+HEAD, FAR = 16, 38
+#: Least number of equal positional bytes of a candidate pair, also with a set of up to SMALL shingles (mean 70,
+#: deviation 7; 48 and 7 for four shingles of five; 1 for texts that share nothing).
+TALLY, TALLY_SMALL, SMALL = 36, 24, 20
+#: A list of up to FEW members gives all its pairs at once; in a longer one each member first gets the nearest of
+#: the LONG before it, and the pairs left out follow where these links have not joined their ends.
+FEW, LONG = 16, 2048
 
 _RNG = np.random.default_rng(20)
-_MULTIPLY, _FLIP = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-_MULTIPLY = _MULTIPLY * np.uint64(2) + np.uint64(1)
-_WIDE = _RNG.integers(0, 1 << 63, BITS // 64, dtype=np.uint64)
+_WIDE = _RNG.integers(0, 1 << 63, BYTES // 8, dtype=np.uint64)
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A key for each band, and the wide SimHash with the size in 8 bytes after it, of a set of shingle hashes."""
-    least, ones = np.full(BANDS * ROWS, np.iinfo(np.uint64).max), np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 512):
-        part = hashes[i : i + 512, None]
-        least = np.minimum(least, ((part ^ _FLIP) * _MULTIPLY).min(axis=0))
-        ones += np.unpackbits(mix64(part ^ _WIDE).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    rows, keys = mix64(least).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
-    return keys, np.packbits(2 * ones > len(hashes)).tobytes() + np.uint64(len(hashes)).tobytes()
+def signature(hashes: np.ndarray, share: float) -> bytes:
+    """The wide SimHash of a set of shingle hashes, with the set's size in 8 bytes after it.
+
+    Sets too small to be ``share`` like any other but themselves are
+    one shingle here, so that those that differ do not meet.
+    """
+    size = len(hashes)
+    if size + 1e-9 < share * (size + 1):
+        hashes = np.bitwise_xor.reduce(mix64(hashes), keepdims=True)
+    ones = np.zeros(8 * BYTES, np.int64)
+    for i in range(0, len(hashes), 128):
+        ones += np.unpackbits(mix64(hashes[i : i + 128, None] ^ _WIDE).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes() + np.uint64(size).tobytes()
 
 
-def signatures(texts: DataFrame, k: int) -> DataFrame:
-    """(doc_id, own, node, keys, wide): node is the text's hash; of a text without words 0, without keys."""
+def signatures(texts: DataFrame, k: int, share: float) -> DataFrame:
+    """(doc_id, own, node, wide): node is the text's hash; of a text without words 0, with an empty wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
-            nodes, keys, wide = batch.column(2).to_pylist(), [], []
+            nodes, wide = batch.column(2).to_pylist(), []
             for i, text in enumerate(raw_bytes(batch.column(3))):
                 hashes = np.unique(shingle_hashes(text, k))
                 if not len(hashes):
                     nodes[i] = 0
-                own = signature(hashes) if len(hashes) else (np.empty(0, np.uint64), b"")
-                keys.append(own[0].view(np.int64))
-                wide.append(own[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "own", "node", "keys", "wide"])
+                wide.append(signature(hashes, share) if len(hashes) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(wide, pa.binary())], ["doc_id", "own", "node", "wide"])
+
+    return texts.mapInArrow(tidy(run), "doc_id long, own long, node long, wide binary")
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """Wide SimHashes, each with its size, as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BYTES + 8)
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """(key, node, p, q): the positional-byte index, two lists intersected at a time; p and q are the HEAD bytes."""
+    lists = np.arange(BYTES // 2, dtype=np.int32) << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.ascontiguousarray(_rows(batch.column(1))[:, :BYTES])
+            head = np.ascontiguousarray(wide[:, :HEAD]).view(np.int64)
+            node, p, q = (np.repeat(x, len(lists)) for x in (batch.column(0).to_numpy(), head[:, 0], head[:, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array((lists + wide.view(np.uint16)).ravel()), pa.array(node), pa.array(p), pa.array(q)], ["key", "node", "p", "q"])
+
+    return nodes.select("node", "wide").mapInArrow(tidy(run), "key int, node long, p long, q long")
+
 
-    return texts.mapInArrow(tidy(run), "doc_id long, own long, node long, keys array<long>, wide binary")
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of bits in which heads differ (128 at most)."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.uint8)
 
 
-def _pairs(wide: np.ndarray, sizes: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Members of one list to compare: see FEW. Cutting a minimum spanning tree at any distance
-    leaves the components that all pairs up to that distance have."""
-    n = len(wide)
-    far = np.empty((n, n), np.uint16)
+def _nearest(head: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Each member of one list with the nearest of the LONG before it, and whether these are all its pairs."""
+    n, a, b, near = len(head), [], [], 0
     for i in range(0, n, 64):
-        far[i : i + 64] = np.bitwise_count(wide[i : i + 64, None] ^ wide[None]).sum(axis=2, dtype=np.uint16)
-    if n <= FEW:
-        a, b = np.triu_indices(n, 1)
-    else:
-        np.fill_diagonal(far, BITS + 1)
-        near = np.concatenate([np.argpartition(far[i : i + 64], NEAREST, axis=1)[:, :NEAREST] for i in range(0, n, 64)])
-        a, b = [np.repeat(np.arange(n), NEAREST)], [near.ravel()]
-        best, link, open_ = far[0].astype(np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-        open_[0] = False
-        tree = []
-        for _ in range(n - 1):
-            j = int(np.argmin(np.where(open_, best, BITS + 2)))
-            tree.append((j, link[j]))
-            open_[j] = False
-            closer = far[j] < best
-            best[closer], link[closer] = far[j][closer], j
-        tree = np.array(tree)
-        a, b = np.concatenate([*a, tree[:, 0]]), np.concatenate([*b, tree[:, 1]])
-    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    close = (far[a, b] <= np.where(small <= SMALL, FAR_SMALL, FAR)) & (small >= share * large)
-    return a[close], b[close]
-
-
-def candidates(nodes: DataFrame, share: float) -> DataFrame:
-    """(a, b), a < b: distinct pairs of nodes that meet in a band and may be similar enough."""
-    n = shuffle_partitions(nodes.sparkSession)
-    listed = nodes.select("node", "wide", F.explode("keys").alias("key"))
-    long = listed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LONG)
-    parts = F.ceil(F.col("n") / LONG)
-    twice = F.array(*(F.xxhash64("key", F.lit(i), F.pmod(F.xxhash64("node", F.lit(i)), parts)) for i in range(2)))
-    listed = listed.join(F.broadcast(long), "key", "left")  # at most one key for LONG postings
-    listed = listed.select("node", "wide", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(twice)).alias("key"))
-    dealt = listed.select("key", "node", "wide").repartition(4 * n, "key").sortWithinPartitions("key")
+        first, rows, end = max(0, i - LONG), np.arange(i, min(n, i + 64)), min(n, i + 64)
+        far = np.where(np.arange(first, end) < rows[:, None], _far(head[i:end, None], head[None, first:end]), 255)
+        near += int((far <= FAR).sum())
+        best = far.argmin(axis=1)
+        kept = far[np.arange(len(rows)), best] <= FAR
+        a.append(first + best[kept])
+        b.append(rows[kept])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a, b, n <= LONG and near == len(a)
+
+
+def _across(head: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one list that are near, of members with different labels."""
+    order = np.argsort(label, kind="stable")
+    head, label, n = head[order], label[order], len(head)
+    for i in range(0, n, 64):
+        end = min(n, i + 64)
+        for j in range(0, end, 4096):
+            if label[j] == label[end - 1]:  # and so are all from here on
+                break
+            to = min(end, j + 4096)
+            apart = (label[i:end, None] != label[None, j:to]) & (np.arange(i, end)[:, None] > np.arange(j, to))
+            x, y = np.nonzero(apart & (_far(head[i:end, None], head[None, j:to]) <= FAR))
+            yield order[i + x], order[j + y]
+
+
+def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Keys, nodes and heads of sorted postings, and the lists' starts and sizes."""
+    key, node = table.column(0).to_numpy(), table.column(1).to_numpy()
+    head = np.stack([table.column(2).to_numpy(), table.column(3).to_numpy()], axis=1).view(np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key, node, head, starts, np.diff(np.append(starts, len(key)))
+
+
+def _first(table: pa.Table) -> Iterator[tuple]:
+    """(a, b, None) of pairs in lists that are near, and the (None, None, key) of lists that have others."""
+    key, node, head, starts, sizes = _lists(table)
+    short = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+    k, x, h = key[short], node[short], head[short]
+    for d in range(1, FEW):
+        at = np.flatnonzero(k[d:] == k[:-d]) if d < len(k) else k[:0]
+        if not len(at):
+            break
+        at = at[_far(h[at], h[at + d]) <= FAR]
+        yield x[at], x[at + d], None
+    for s, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        a, b, whole = _nearest(head[s : s + m])
+        yield node[s + a], node[s + b], None
+        if not whole:
+            yield None, None, int(key[s])
+
+
+def _second(table: pa.Table) -> Iterator[tuple]:
+    """(a, b, None) of all pairs in lists that are near and have different labels."""
+    _, node, head, starts, sizes = _lists(table)
+    label = table.column(4).to_numpy()
+    for s, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+        for a, b in _across(head[s : s + m], label[s : s + m]):
+            yield node[s + a], node[s + b], None
+
+
+def _met(listed: DataFrame, found) -> DataFrame:
+    """(a, b, key): what ``found`` gives for the lists, streamed from sorted partitions; a < b."""
+    dealt = listed.repartition(4 * shuffle_partitions(listed.sparkSession), "key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
+            if not len(batch):
+                continue
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             key = table.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last list may go on
+            last = int(np.searchsorted(key, key[-1]))  # the last list may go on
             held = table.slice(last)
-            yield from found(table.slice(0, last))
+            yield from rows(table.slice(0, last))
         if held is not None:
-            yield from found(held)
+            yield from rows(held)
         held = None
         release_memory()
 
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(table) < 2:
-            return
-        key, node = table.column(0).to_numpy(), table.column(1).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        for s, m in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            wide = np.frombuffer(b"".join(table.column(2).slice(s, m).to_pylist()), np.uint64).reshape(m, -1)
-            a, b = _pairs(np.ascontiguousarray(wide[:, :-1]), wide[:, -1].astype(np.int64), share)
-            if len(a):
-                x, y = node[s : s + m][a], node[s : s + m][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for a, b, key in found(table) if len(table) > 1 else ():
+            if key is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([key], pa.int32())], ["a", "b", "key"])
+            elif len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int32())], ["a", "b", "key"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, key int").distinct()
+
+
+def tallied(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The (a, b) that have as many positional bytes in common as TALLY says, and sizes that allow ``share``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _rows(batch.column(2)), _rows(batch.column(3))
+            m, n = (np.ascontiguousarray(z[:, BYTES:]).view(np.int64)[:, 0] for z in (x, y))
+            small, large = np.minimum(m, n), np.maximum(m, n)
+            equal = (x[:, :BYTES] == y[:, :BYTES]).sum(axis=1)
+            kept = pa.array((equal >= np.where(small <= SMALL, TALLY_SMALL, TALLY)) & (small + 1e-9 >= share * large))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+    ends = (nodes.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(next(ends), "a").join(next(ends), "b").select("a", "b", "wide_a", "wide_b")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
@@ -147,12 +216,34 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFr
     return equal.filter(F.col("equal") >= F.lit(share) * (F.col("all") - F.col("equal"))).select("a", "b")
 
 
+def linked(nodes: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
+    """(a, b): links that join all nodes that the pairs of ``share`` or more among those that meet join.
+
+    Lists that were not compared in all pairs at first are compared again across the components found.
+    """
+
+    def check(pairs: DataFrame) -> DataFrame:
+        kept = stage(tallied(pairs, nodes, share), "pairs")
+        return stage(verified(kept, texts, k, share), "links")
+
+    met = stage(_met(postings(nodes), _first), "met")
+    links, left = check(met.filter(F.col("key").isNull())), met.filter(F.col("key").isNotNull()).select("key")
+    if left.isEmpty():
+        return links
+    labels = connected_components(links)
+    again = postings(nodes).join(left, "key", "left_semi").join(labels, "node", "left")
+    again = again.select("key", "node", "p", "q", F.coalesce("root", "node").alias("label"))
+    new = stage(_met(again, _second), "met").join(met.filter(F.col("key").isNull()), ["a", "b"], "left_anti")
+    return links.unionByName(check(new))
+
+
 def near_copies(docs: DataFrame, k: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``.
 
     Documents link if the sets of their ``k``-word shingles (A-Z lower-cased, ASCII blanks) have a
-    Jaccard similarity of ``share`` or more, compared exactly; which pairs are compared is told at
-    BANDS (made for 0.8 or more), FAR and FEW. component_id is the smallest doc_id of the component.
+    Jaccard similarity of ``share`` or more, compared exactly. Compared are the pairs that meet in a
+    list of two positional bytes of their wide SimHashes (see BYTES, made for 0.8 or more) and pass
+    FAR and TALLY, but for those that other links join. component_id is the smallest doc_id of the component.
     Equal texts are one node whatever their number; texts without words (null, empty, blank) are
     one group; a text of fewer words than ``k`` is one shingle; an empty table gives an empty
     result; a component of null ids alone has a null component_id.
@@ -163,10 +254,9 @@ def near_copies(docs: DataFrame, k: int = 5, share: float = 0.8, id_col: str = "
 def grouped(docs: DataFrame, k: int, share: float, id_col: str, text_col: str) -> DataFrame:
     """``near_copies`` with own: null but for null ids, whose rows it tells apart by their text."""
     texts = id_text(docs, id_col, text_col).select("doc_id", own_hash().alias("own"), F.xxhash64("text").alias("node"), "text")
-    table = stage(signatures(texts, k), "signatures")
-    nodes = table.filter(F.size("keys") > 0).select("node", "keys", "wide").dropDuplicates(["node"])
-    pairs = stage(candidates(stage(nodes, "nodes"), share), "pairs")
-    found = connected_components(verified(pairs, texts.select("node", "text"), k, share))
+    table = stage(signatures(texts, k, share), "signatures")
+    nodes = stage(table.filter(F.length("wide") > 0).select("node", "wide").dropDuplicates(["node"]), "nodes")
+    found = connected_components(linked(nodes, texts.select("node", "text"), k, share))
     rooted = table.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.select("doc_id", "own", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "own", "component_id")
