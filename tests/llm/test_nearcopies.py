@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from versicle.llm import nearcopies
 from versicle.llm.nearcopies import near_copies, one_of_each
+from versicle.llm.simhash import kept_of
 
 
 def jaccard(x, y, k=5):
@@ -76,6 +78,46 @@ def test_pairs_in_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_links_of_a_large_group(spark, monkeypatch):
+    """A group of n near copies hands on fewer than n links, not all that its pairs have."""
+    rng, seen, found = random.Random(9), [], nearcopies.connected_components
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+    rows = [(i, " ".join([*base[: i % 200], f"v{i}", *base[i % 200 :]])) for i in range(300)]
+
+    def counted(links, *ends):
+        seen.append(links.count())
+        return found(links, *ends)
+
+    monkeypatch.setattr(nearcopies, "connected_components", counted)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    assert seen and sum(seen) < len(rows)
+
+
+def test_lists_made_again(spark):
+    """With a bit for each key, the postings are exactly those of these lists, with their labels."""
+    rng = random.Random(10)
+    rows = [(i, bytearray(rng.randrange(4) for _ in range(nearcopies.BYTES + 8)), -i) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, wide binary, label long")
+    every = [tuple(r) for r in nearcopies.postings(nodes).collect()]
+    keys = sorted({r[0] for r in every})[::3]
+    again = nearcopies.postings(nodes, nearcopies._bits(spark.createDataFrame([(k,) for k in keys * 2], "key int")))
+    assert sorted(map(tuple, again.collect())) == sorted((*r, -r[1]) for r in every if r[0] in set(keys))
+    assert not np.any(nearcopies._bits(spark.createDataFrame([], "key int")))
+
+
+def test_texts_shuffled_once(spark, edges):
+    """The rows that stay are dealt out once, for the join with the kept ids and for repeated rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.createDataFrame([(1, None, 1)], "doc_id long, own long, component_id long")
+        plan = kept_of(edges, found, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_edges(spark, edges, empty):
     got = near_copies(edges).collect()
     assert len(got) == edges.count()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ._util import id_text, mix64, raw_bytes, release_memory, shuffle_partitions, stage, tidy
 from .components import connected_components
+from .decontaminate import SeedFilter, seed_filter
 from .simhash import kept_of, own_hash, shingle_hashes
 
 #: Positional bytes of the wide SimHash. Their lists are intersected two at a time (bytes 2i and 2i + 1). At
@@ -67,18 +68,44 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BYTES + 8)
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(key, node, p, q): the positional-byte index, two lists intersected at a time; p and q are the HEAD bytes."""
+def postings(nodes: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(key, node, p, q): the positional-byte index, two lists intersected at a time; p and q are the HEAD bytes.
+
+    With ``only``, a bit for each key, just these lists are made, and label is the node's.
+    """
     lists = np.arange(BYTES // 2, dtype=np.int32) << 16
+    shared = None if only is None else nodes.sparkSession.sparkContext.broadcast(only)  # 1 MB
+    more = [] if only is None else ["label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = np.ascontiguousarray(_rows(batch.column(1))[:, :BYTES])
             head = np.ascontiguousarray(wide[:, :HEAD]).view(np.int64)
-            node, p, q = (np.repeat(x, len(lists)) for x in (batch.column(0).to_numpy(), head[:, 0], head[:, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array((lists + wide.view(np.uint16)).ravel()), pa.array(node), pa.array(p), pa.array(q)], ["key", "node", "p", "q"])
+            columns = [(lists + wide.view(np.uint16)).ravel(), *(np.repeat(x, len(lists)) for x in (batch.column(0).to_numpy(), head[:, 0], head[:, 1], *(batch.column(2 + i).to_numpy() for i in range(len(more)))))]
+            if shared is not None:
+                kept = np.flatnonzero(shared.value[columns[0] >> 3] >> (columns[0] & 7) & 1)
+                columns = [x[kept] for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "p", "q", *more])
+
+    return nodes.select("node", "wide", *more).mapInArrow(tidy(run), "key int, node long, p long, q long" + ", label long" * len(more))
 
-    return nodes.select("node", "wide").mapInArrow(tidy(run), "key int, node long, p long, q long")
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each key of a list, set for those in ``keys``: exact, and 1 MB whatever their number."""
+    size = BYTES // 2 << 13
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            np.bitwise_or.at(bits, key >> 3, np.uint8(1) << (key & 7).astype(np.uint8))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].astype(np.int32))], ["at", "mask"])
+
+    found = keys.mapInArrow(run, "at long, mask int").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most ``size`` rows
+    bits = np.zeros(size, np.uint8)
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return bits
 
 
 def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -181,7 +208,7 @@ def _met(listed: DataFrame, found) -> DataFrame:
 
 
 def tallied(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """The (a, b) that have as many positional bytes in common as TALLY says, and sizes that allow ``share``."""
+    """(a, b, equal) of those that have as many positional bytes in common as TALLY says, and sizes that allow ``share``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,51 +217,84 @@ def tallied(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
             small, large = np.minimum(m, n), np.maximum(m, n)
             equal = (x[:, :BYTES] == y[:, :BYTES]).sum(axis=1)
             kept = pa.array((equal >= np.where(small <= SMALL, TALLY_SMALL, TALLY)) & (small + 1e-9 >= share * large))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(equal, pa.int64()).filter(kept)], ["a", "b", "equal"])
 
     ends = (nodes.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")) for x in "ab")
     both = pairs.select("a", "b").join(next(ends), "a").join(next(ends), "b").select("a", "b", "wide_a", "wide_b")
-    return both.mapInArrow(tidy(run), "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long, equal long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
-    """The (a, b) whose texts' shingle sets have a Jaccard similarity of ``share`` or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.dropDuplicates(["node"]).join(ends, "node", "left_semi").select("node", "text")
+def shingle_sets(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, own): the shingle sets of the texts at the ends of ``pairs``, and of few others.
+
+    A Bloom filter of the ends goes to the texts, so that these are not shuffled.
+    """
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), "ends")
+    shared = texts.sparkSession.sparkContext.broadcast(seed_filter(ends, ends.count()).table)  # FILTER_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, seen = SeedFilter(64 * len(shared.value), shared.value), set()
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
+            node, rows = batch.column(0).to_numpy(), []
+            for i in asked(node.view(np.uint64)).tolist():
+                if node[i] not in seen:
+                    seen.add(node[i])
+                    rows.append(i)
+            for i in range(0, len(rows), 256):
+                part = batch.take(pa.array(rows[i : i + 256]))
                 sets = [np.unique(shingle_hashes(x, k)).view(np.int64) for x in raw_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
 
-    sets = stage(own.mapInArrow(tidy(run), "node long, own array<long>"), "candidates")
+    return texts.mapInArrow(tidy(run), "node long, own array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets have a Jaccard similarity of ``share`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
     # row by row in the JVM: no batch holds many long texts
-    equal = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("equal"), (F.size("own_a") + F.size("own_b")).alias("all"))
-    return equal.filter(F.col("equal") >= F.lit(share) * (F.col("all") - F.col("equal"))).select("a", "b")
+    equal = both.select(*pairs.columns, F.size(F.array_intersect("own_a", "own_b")).alias("equal"), (F.size("own_a") + F.size("own_b")).alias("all"))
+    return equal.filter(F.col("equal") >= F.lit(share) * (F.col("all") - F.col("equal"))).select(*pairs.columns)
+
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, root_a, root_b) of the pairs whose ends have different roots."""
+    ends = (labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return pairs.select("a", "b").join(next(ends), "a").join(next(ends), "b").filter(F.col("root_a") != F.col("root_b"))
 
-def linked(nodes: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
-    """(a, b): links that join all nodes that the pairs of ``share`` or more among those that meet join.
 
-    Lists that were not compared in all pairs at first are compared again across the components found.
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) with the roots joined that ``links`` (root_a, root_b) join."""
+    moved = connected_components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return stage(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+
+
+def rooted_nodes(nodes: DataFrame, texts: DataFrame, k: int, share: float) -> DataFrame:
+    """(node, root): the components of all pairs of ``share`` or more among those that meet; root is the smallest node.
+
+    The likeliest pair of each node is verified first; of the others only those that the links found
+    do not join already, so a group of n nodes gives about n links and not all its pairs. Lists that
+    were not compared in all pairs at first are compared again across the components found.
     """
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def check(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         kept = stage(tallied(pairs, nodes, share), "pairs")
-        return stage(verified(kept, texts, k, share), "links")
+        if kept.isEmpty():
+            return labels
+        sets = stage(shingle_sets(kept, texts, k), "candidates")
+        first = kept.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("best")).select("best.a", "b")
+        labels = _joined(labels, linked(first, sets, labels))
+        return _joined(labels, linked(kept.join(first, ["a", "b"], "left_anti"), sets, labels))
+
+    def linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        return verified(_apart(pairs, labels), sets, share).select("root_a", "root_b")
 
     met = stage(_met(postings(nodes), _first), "met")
-    links, left = check(met.filter(F.col("key").isNull())), met.filter(F.col("key").isNotNull()).select("key")
+    pairs, left = met.filter(F.col("key").isNull()), met.filter(F.col("key").isNotNull()).select("key")
+    labels = check(nodes.select("node", F.col("node").alias("root")), pairs)
     if left.isEmpty():
-        return links
-    labels = connected_components(links)
-    again = postings(nodes).join(left, "key", "left_semi").join(labels, "node", "left")
-    again = again.select("key", "node", "p", "q", F.coalesce("root", "node").alias("label"))
-    new = stage(_met(again, _second), "met").join(met.filter(F.col("key").isNull()), ["a", "b"], "left_anti")
-    return links.unionByName(check(new))
+        return labels
+    again = postings(nodes.join(labels.withColumnRenamed("root", "label"), "node"), _bits(left))
+    return check(labels, _met(again, _second).join(pairs, ["a", "b"], "left_anti"))
 
 
 def near_copies(docs: DataFrame, k: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +316,7 @@ def grouped(docs: DataFrame, k: int, share: float, id_col: str, text_col: str) -
     texts = id_text(docs, id_col, text_col).select("doc_id", own_hash().alias("own"), F.xxhash64("text").alias("node"), "text")
     table = stage(signatures(texts, k, share), "signatures")
     nodes = stage(table.filter(F.length("wide") > 0).select("node", "wide").dropDuplicates(["node"]), "nodes")
-    found = connected_components(linked(nodes, texts.select("node", "text"), k, share))
+    found = rooted_nodes(nodes, texts.select("node", "text"), k, share)
     rooted = table.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.select("doc_id", "own", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "own", "component_id")

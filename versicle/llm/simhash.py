@@ -216,11 +216,15 @@ def one_of_each(docs: DataFrame, k: int = 3, distance: int = 3, id_col: str = "d
 
 def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay of the groups in ``found`` (doc_id, own, component_id), as in ``one_of_each``."""
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("own").alias("__of")).distinct()
+
+    def keys(id_: str, own: str) -> list[F.Column]:
+        """No nulls, so that the rows are shuffled once, for the join and for the repeated ones; own is null unless the id is."""
+        return [F.coalesce(id_, own).alias("__key"), F.col(id_).isNull().alias("__none")]
+
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys("doc_id", "own")).distinct()
     rows = docs.select(*docs.columns, docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"))
-    rows = rows.withColumn("__own", own_hash("__id", "__text")).drop("__text")
-    rows = rows.join(keep, F.col("__id").eqNullSafe(F.col("__kept")) & F.col("__own").eqNullSafe(F.col("__of")), "left_semi")
-    return rows.dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    rows = rows.withColumn("__own", own_hash("__id", "__text")).select(*docs.columns, *keys("__id", "__own"))
+    return rows.join(keep, ["__key", "__none"], "left_semi").dropDuplicates(["__key", "__none"]).select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
