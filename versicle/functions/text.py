@@ -174,9 +174,12 @@ def bucket(page: Column, size: int = 100) -> Column:
     return F.when(page > 0, F.concat(low.cast("string"), F.lit("-"), (low + size - 1).cast("string"))).otherwise("unknown")
 
 
-def chunk(page: Column, size: int = 50) -> Column:
+def chunk(page: Column, size: int = 50, places: int | None = None) -> Column:
+    """Label of the page's range, such as "chunk_051-100"; with ``places`` its numbers keep that many characters, as those of SQL's lpad do."""
     low = F.floor((page - 1) / size) * size + 1
-    return F.format_string("chunk_%03d-%03d", low, low + size - 1)
+    if places is None:
+        return F.format_string("chunk_%03d-%03d", low, low + size - 1)
+    return F.concat(F.lit("chunk_"), F.lpad(low.cast("string"), places, "0"), F.lit("-"), F.lpad((low + size - 1).cast("string"), places, "0"))
 
 
 def density(count: Column, n: Column) -> Column:

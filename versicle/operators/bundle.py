@@ -26,13 +26,13 @@ def joined(lines: DataFrame, matches: DataFrame, long: DataFrame | None = None,
     return found
 
 
-def chunks(records: DataFrame, size: int = 50) -> DataFrame:
+def chunks(records: DataFrame, size: int = 50, places: int | None = None) -> DataFrame:
     """``records`` with their page-range chunk; written with one folder per chunk, never gathered in one row."""
-    return records.withColumn("chunk", chunk(F.col("page"), size))
+    return records.withColumn("chunk", chunk(F.col("page"), size, places))
 
 
-def chunk_totals(records: DataFrame, size: int = 50) -> DataFrame:
-    return chunks(records, size).groupBy("chunk").agg(F.count("*").alias("lines"), F.sum(F.size("matches")).alias("matches"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+def chunk_totals(records: DataFrame, size: int = 50, places: int | None = None) -> DataFrame:
+    return chunks(records, size, places).groupBy("chunk").agg(F.count("*").alias("lines"), F.sum(F.size("matches")).alias("matches"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
 def sha256_of(path: str) -> str:
