@@ -1,18 +1,16 @@
 """Column functions: normalisation, tokenisation, identifiers, labels and rates.
 
-All are built-in expressions but ``nfc``, which needs Unicode tables that Spark does not expose, and
-``token_spans``, whose running search no built-in function does in linear time.
+All are built-in expressions but ``token_spans``, whose running search no built-in function does in
+linear time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The code points that the normalisation policies are about.
 ZERO_WIDTH = "‌‍"
@@ -48,13 +46,10 @@ class Normalization:
         return ["unicode_nfc", "strip_zero_width", f"nukta_{self.nukta}", f"nasal_{self.nasal}", f"vishram_{self.vishram}", f"halant_{self.halant}", "collapse_whitespace"]
 
 
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
-
-
 def nfc(text: Column) -> Column:
-    """Unicode NFC; of ASCII texts only a null goes to Python and back."""
-    return F.coalesce(F.pandas_udf(_nfc, StringType())(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+    """Unicode NFC, by the ICU library that Spark itself ships, so that no text leaves the JVM; ASCII texts are NFC already."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))  # False: canonical forms alone
+    return F.coalesce(F.when(text.rlike("[^\\x00-\\x7F]"), composed), text)
 
 
 def collapse(text: Column) -> Column:
