@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,entity_id:string,form:string,alias_ord:int,shared:boolean,nested_in:string>>"
 #: The dictionary is sent to the tasks up to this many aliases, counted first; beyond, every n-gram is joined with it.
 BROADCAST_ALIASES = 1_000_000
+#: Lines of a batch that are Python objects at once.
+SLICE = 2000
 
 Found = tuple[int, int, int, int, str, str, bool]  # start, minus the length, alias order, end, entity, form, shared
 
@@ -51,14 +56,57 @@ def resolve(found: list[Found], strict_longest: bool = False) -> list[tuple]:
     return list(kept.values())
 
 
+_KINDS = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string())
+_NAMES = ("start", "end", "entity_id", "form", "alias_ord", "shared", "nested_in")
+
+
+def _columns(spans: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, k) for c, k in zip(list(zip(*spans, strict=True)) or [()] * 7, _KINDS, strict=True)]
+
+
 def _spans(rows: list[list[tuple]]) -> pa.Array:
-    flat = list(zip(*(x for row in rows for x in row), strict=True)) or [()] * 7
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string())
-    names = ("start", "end", "entity_id", "form", "alias_ord", "shared", "nested_in")
     edges = [0]
     for row in rows:
         edges.append(edges[-1] + len(row))
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(_columns([x for row in rows for x in row]), _NAMES))
+
+
+def _in_runs(texts: list[str | None], vocabulary: frozenset[str], find: Callable[[str], list[tuple]]) -> pa.Array:
+    """SPAN arrays of the texts, where ``find`` gives those of a run: words of the vocabulary in a row.
+
+    Matches lie within runs and runs do not touch, so that each is resolved by itself; one that
+    comes again in ``texts`` is only moved to its place.
+    """
+    known: dict[str, int] = {}
+    runs, places, edges = [], [], [0]
+    for text in texts:
+        at = begin = 0
+        run: list[str] = []
+        for word in text.split(" ") if text else ():
+            if word in vocabulary:
+                if not run:
+                    begin = at
+                run.append(word)
+            elif run:
+                runs.append(known.setdefault(" ".join(run), len(known)))
+                places.append(begin)
+                run = []
+            at += len(word) + 1
+        if run:
+            runs.append(known.setdefault(" ".join(run), len(known)))
+            places.append(begin)
+        edges.append(len(runs))
+    each = [find(run) for run in known]
+    columns = _columns([x for spans in each for x in spans])
+    size = np.array([len(spans) for spans in each], np.int64)
+    of = np.array(runs, np.int64)
+    n = size[of]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    take = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[of] - ends[:-1], n)
+    moved = np.repeat(np.array(places, np.int32), n)
+    columns = [c.take(pa.array(take)) for c in columns]
+    columns[:2] = [pa.array(c.to_numpy() + moved, pa.int32()) for c in columns[:2]]
+    return pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), pa.StructArray.from_arrays(columns, _NAMES))
 
 
 def small(aliases: DataFrame) -> list | None:
@@ -74,6 +122,7 @@ def spans(text: Column, known: list, case_fold: bool = True, strict_longest: boo
     """
     forms: dict[str, list[tuple[str, int]]] = {}
     longest: dict[str, list[int]] = {}
+    vocabulary = frozenset(word for r in known for word in r["form"].split(" "))
     for r in known:
         forms.setdefault(r["form"], []).append((r["entity_id"], r["alias_ord"]))
         sizes = longest.setdefault(r["form"].split(" ")[0], [])
@@ -86,7 +135,8 @@ def spans(text: Column, known: list, case_fold: bool = True, strict_longest: boo
     @F.arrow_udf(SPAN)
     def find(texts: pa.Array) -> pa.Array:
         done = every if strict_longest is None else lambda x: resolve(x, strict_longest)
-        return _spans([done(scan(t, forms, longest)) if t else [] for t in texts.to_pylist()])
+        slices = (texts.slice(i, SLICE).to_pylist() for i in range(0, len(texts), SLICE))
+        return pa.concat_arrays([_in_runs(part, vocabulary, lambda run: done(scan(run, forms, longest))) for part in slices] or [_spans([])])
 
     return find(F.lower(text) if case_fold else text)
 

@@ -65,7 +65,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_uid, line_id, doc_id, page, line_number, author, lang, group_id, text, tokens, n_tokens."""
-    found = raw_lines(spark, sf_dir).withColumn("text", T.collapse(F.col("raw"))).filter("text <> ''")
+    # the filter asks for a character that stays: on "text" it would be pushed down and collapse every line twice
+    found = raw_lines(spark, sf_dir).filter(F.col("raw").rlike("(?U)\\S")).withColumn("text", T.collapse(F.col("raw")))
     page = (F.floor(F.col("doc_id") / 10) + 1).cast("int")
     line_id = F.concat_ws(":", "doc_id", "line_number")
     found = found.select("doc_id", page.alias("page"), "line_number", "author", "lang", line_id.alias("line_id"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3).cast("string")).alias("group_id"), "text", T.tokens(F.col("text")).alias("tokens"))
