@@ -18,6 +18,13 @@ def test_tokens_and_collapse_equal_the_patterns(spark):
     assert [r["c"] for r in got] == [r["p"] for r in got] and [r["k"] for r in got] == [r["w"] for r in got]
 
 
+def test_token_count_equals_tokens(spark):
+    points = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    texts = [t for x in points for t in (f"a {x} b", f"{x} a{x}b.", f"{x}{x}")] + ["", "- a", "a -", "-- a () ...", "a — b", "ਰਹਾਉ a", "a ੧੨ ੩ b।c॥", "the end. a-b (c)", "a;b"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(T.collapse(F.col("t")).alias("t"))
+    assert df.filter(~T.token_count(F.col("t")).eqNullSafe(F.size(T.tokens(F.col("t"))))).count() == 0
+
+
 def test_runs_equal_whole_lines():
     """Matches run by run are those of the whole line; each distinct run is resolved once."""
     import random

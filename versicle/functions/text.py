@@ -24,6 +24,8 @@ REFRAIN = "ਰਹਾਉ"
 SCRIPT = "\\x{0A00}-\\x{0A7F}"
 #: Stripped from the ends of words.
 ENDS = "।॥;,.-–—:!?()"
+#: A text without one of these has no structural marker.
+MARKED = f"[{DANDA}{DOUBLE_DANDA}{NUMERALS}]|{REFRAIN}"
 #: Ranges of code points expected in canonical text: the script, dandas, blanks and digits of ASCII.
 EXPECTED = f"{SCRIPT}।॥\\x{{200C}}\\x{{200D}} -~"
 
@@ -54,8 +56,8 @@ def nfc(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space (Unicode) to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+    """Runs of white space (Unicode) to one space, ends trimmed; single spaces, which stay, are not replaced one by one."""
+    return F.trim(F.regexp_replace(text, "(?U)\\s{2,}|[\\s&&[^ ]]", " "))
 
 
 def strip_zero_width(text: Column) -> Column:
@@ -106,9 +108,17 @@ def words(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Words of the text without markers, punctuation stripped from their ends."""
     _, cleaned = structural_markers(text)  # used once: an expression within ``transform`` is not shared but evaluated for each use
+    cleaned = F.when(text.rlike(MARKED), cleaned).otherwise(text)
     return F.array_remove(F.transform(F.split(collapse(cleaned), " "), lambda w: F.btrim(w, F.lit(ENDS))), "")
 
 
+def token_count(text: Column) -> Column:
+    """Number of ``tokens`` of a collapsed text; where it has neither markers nor words of punctuation alone, its words are counted by their spaces."""
+    apart = ENDS.replace("-", "\\-")
+    odd = (text == "") | text.rlike(f"{MARKED}|(?:^| )[{apart}]+(?: |$)")
+    return F.when(odd, F.size(tokens(text))).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1).cast("long")
+
+
 def token_spans(text: Column, of: Column, restart: bool = True) -> Column:
     """[start, end) of each token, searched from left to right; one not found onwards is searched from the start (``restart``) or gets -1, -1.
 

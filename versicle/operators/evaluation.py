@@ -53,8 +53,12 @@ def errors(both: DataFrame) -> DataFrame:
 
 def sweep(gold: DataFrame, variants: DataFrame) -> DataFrame:
     """Macro metrics of every variant of ``rederive``."""
-    g = gold.select("line_uid", F.col("category").alias("gold"))
-    both = g.join(variants, "line_uid").select("variant", "gold", F.coalesce("primary_tag", F.lit("unclassified")).alias("pred"))
+    return labelled_sweep(gold.select("line_uid", F.col("category").alias("gold")).join(variants, "line_uid"))
+
+
+def labelled_sweep(variants: DataFrame) -> DataFrame:
+    """As ``sweep``, for rows of ``rederive`` that carry their ``gold`` label: nothing is joined."""
+    both = variants.select("variant", "gold", F.coalesce("primary_tag", F.lit("unclassified")).alias("pred"))
     return macro(category_metrics(both, ("variant",)), ("variant",))
 
 
@@ -97,4 +101,4 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.unionByName(m)
 
 
-__all__ = ["GOLD", "category_metrics", "confusion", "errors", "f1", "first_pages", "joined", "macro", "page_sample", "percent", "proportional_sample", "ratio", "report", "sweep"]
+__all__ = ["GOLD", "category_metrics", "confusion", "errors", "f1", "first_pages", "joined", "labelled_sweep", "macro", "page_sample", "percent", "proportional_sample", "ratio", "report", "sweep"]

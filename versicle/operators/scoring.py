@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import bucket, density, percent, sigmoid
+from ..staging import stage
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,10 @@ class Scoring:
     dimensions: tuple[Dimension, ...]
     context_weight: float = 0.2
 
+    def registers(self) -> set[str]:
+        """The dimensions whose densities rules or their evidence ask for."""
+        return {r.match_register for d in self.dimensions for r in d.rules if r.match_register is not None}
+
     @staticmethod
     def parse(config: dict) -> Scoring:
         """From the ``tagging`` part of a configuration document."""
@@ -121,15 +126,17 @@ def line_contexts(matched: DataFrame, dims: dict[str, tuple[str, ...]], negation
     return found.select("*", has(negations).alias("has_negation"), (has(negations) & has(rituals)).alias("ritual_negation"))
 
 
-def scores(context: DataFrame, config: Scoring, group: str = "group_id", skewed: bool = True) -> DataFrame:
-    """``context`` with raw_, ctx_, comb_ and score_ columns of every dimension.
+def scores(context: DataFrame, config: Scoring, group: str = "group_id", skewed: bool = True, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``context``, or its columns ``keep``, with raw_, ctx_, comb_ and score_ columns of every dimension.
 
     A line's context is the mean raw signal of its group, itself included; 0 in a group of one and
     for a null group. Means come from an aggregate with map-side combine and a join, so that a
-    group of any size stays spread out.
+    group of any size stays spread out. Both read the raw signals as written once: the lines are
+    matched a single time.
     """
     raw = {d.name: reduce(lambda a, b: a + b, [F.when(r.fires(), F.lit(r.weight)).otherwise(0.0) for r in d.rules], F.lit(0.0)) for d in config.dimensions}
-    base = context.select("*", *(c.alias(f"raw_{n}") for n, c in raw.items()))
+    kept = context.columns if keep is None else [group, *(c for c in keep if c != group)]
+    base = stage(context.select(*kept, *(c.alias(f"raw_{n}") for n, c in raw.items())), "signals")
     means = base.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("__n"), *(F.avg(f"raw_{n}").alias(f"__{n}") for n in raw))
     found = base.join(means, group, "left")
     cw = config.context_weight
@@ -165,11 +172,11 @@ def tag(scored: DataFrame, config: Scoring, t: Thresholds = Thresholds()) -> Dat
     return found.drop(*(f"__{n}" for n in fired))
 
 
-def rederive(scored: DataFrame, variants: dict[str, Thresholds]) -> DataFrame:
-    """One row per line and variant with the primary tag under it: the rows times the (few) variants, nothing joined."""
+def rederive(scored: DataFrame, variants: dict[str, Thresholds], keep: tuple[str, ...] = ("line_uid",)) -> DataFrame:
+    """keep, variant, primary_tag: one row per line and variant with the tag under it, the rows times the (few) variants, nothing joined."""
     nirgun, sagun = F.col("score_nirgun"), F.col("score_sagun_narrative")
     each = F.array(*(F.struct(F.lit(n).alias("variant"), primary_tag(nirgun, sagun, t).alias("primary_tag")) for n, t in variants.items()))
-    return scored.select("line_uid", F.explode(each).alias("v")).select("line_uid", "v.variant", "v.primary_tag")
+    return scored.select(*keep, F.explode(each).alias("v")).select(*keep, "v.variant", "v.primary_tag")
 
 
 def register_tag() -> Column:

@@ -70,7 +70,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = (F.floor(F.col("doc_id") / 10) + 1).cast("int")
     line_id = F.concat_ws(":", "doc_id", "line_number")
     found = found.select("doc_id", page.alias("page"), "line_number", "author", "lang", line_id.alias("line_id"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3).cast("string")).alias("group_id"), "text", T.tokens(F.col("text")).alias("tokens"))
-    return found.withColumns({"line_uid": T.line_uid(F.col("page"), F.col("line_id"), F.col("text")), "n_tokens": F.size("tokens").cast("long")})
+    return found.withColumns({"line_uid": T.line_uid(F.col("page"), F.col("line_id"), F.col("text")), "n_tokens": T.token_count(F.col("text"))})
 
 
 MATCH_KEYS = ("line_uid", "page", "author", "group_id")
