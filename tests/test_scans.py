@@ -3,7 +3,7 @@
 import pytest
 
 from versicle import plans, staging
-from versicle.operators import scoring
+from versicle.operators import cooccurrence, scoring
 
 
 @pytest.fixture
@@ -15,7 +15,8 @@ def staged(monkeypatch):
         found.append(df._jdf.queryExecution().executedPlan().toString())
         return staging.stage(df, name)
 
-    monkeypatch.setattr(scoring, "stage", kept, raising=False)
+    for module in (scoring, cooccurrence):
+        monkeypatch.setattr(module, "stage", kept, raising=False)
     return found
 
 
@@ -23,6 +24,6 @@ def scans(df, staged):
     return sum(p.count("ArrowEvalPython") for p in [*staged, df._jdf.queryExecution().executedPlan().toString()])
 
 
-@pytest.mark.parametrize("name", ["sigmoid_scores", "sensitivity_variants", "threshold_sweep"])
-def test_scores_match_lines_once(spark, staged, name):
+@pytest.mark.parametrize("name", ["sigmoid_scores", "sensitivity_variants", "threshold_sweep", "cooc_levels", "cross_tradition", "ritual_negation"])
+def test_lines_are_matched_once(spark, staged, name):
     assert scans(plans.queries()[name](spark, "/root/testdata/sf0.001"), staged) == 1

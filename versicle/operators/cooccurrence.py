@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def window_entities(matches: DataFrame, window: Column | str, include_nested: bool = False) -> DataFrame:
     """Distinct (w, entity_id) of matches that are not nested."""
@@ -38,14 +40,18 @@ def pairs(windows: DataFrame, min_freq: int = 1, min_count: int = 1, smoothing:
     Entities in fewer than ``min_freq`` windows go before pairs are formed; the number of windows N
     and of entities V count what is left. Pairs in fewer than ``min_count`` windows go; below
     ``min_support`` pmi and npmi are null. A window's pairs number the square of its distinct
-    entities, which the lexicon bounds, not the corpus.
+    entities, which the lexicon bounds, not the corpus. Windows are read once, into counts of the
+    distinct sets of entities; all figures come from these.
     """
-    counts = windows.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_freq)
-    kept = windows.join(F.broadcast(counts), "entity_id") if min_freq > 1 else windows  # one row per lexicon entity
-    total = kept.agg(F.countDistinct("w").alias("N"), F.countDistinct("entity_id").alias("V"))
-    sets = kept.groupBy("w").agg(F.sort_array(F.collect_set("entity_id")).alias("e"))
-    each = sets.select(F.explode(F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.greatest(F.size("e") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    both = each.groupBy(F.col("p.a").alias("entity_a"), F.col("p.b").alias("entity_b")).agg(F.count("*").alias("raw_count")).filter(F.col("raw_count") >= min_count)
+    sets = windows.filter(F.col("w").isNotNull() & F.col("entity_id").isNotNull()).groupBy("w").agg(F.sort_array(F.collect_set("entity_id")).alias("e"))
+    alike = stage(sets.groupBy("e").agg(F.count("*").alias("n")), "windows")  # windows with the same entities are one row
+    counts = alike.select(F.explode("e").alias("entity_id"), "n").groupBy("entity_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_freq)
+    if min_freq > 1:  # one row per lexicon entity
+        kept = F.broadcast(counts.agg(F.collect_set("entity_id").alias("__kept")))
+        alike = alike.join(kept).select(F.array_intersect("e", "__kept").alias("e"), "n").filter(F.size("e") > 0)
+    total = alike.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N")).join(F.broadcast(counts.agg(F.count("*").alias("V"))))
+    each = alike.select("n", F.explode(F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.greatest(F.size("e") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    both = each.groupBy(F.col("p.a").alias("entity_a"), F.col("p.b").alias("entity_b")).agg(F.sum("n").alias("raw_count")).filter(F.col("raw_count") >= min_count)
     found = both.join(F.broadcast(counts.select(F.col("entity_id").alias("entity_a"), F.col("n").alias("na"))), "entity_a")
     found = found.join(F.broadcast(counts.select(F.col("entity_id").alias("entity_b"), F.col("n").alias("nb"))), "entity_b").join(F.broadcast(total))
     ab, a, b, n, v = (F.col(c) for c in ("raw_count", "na", "nb", "N", "V"))
@@ -58,10 +64,11 @@ def pairs(windows: DataFrame, min_freq: int = 1, min_count: int = 1, smoothing:
 
 
 def levels(matches: DataFrame, by: dict[str, str], **options) -> DataFrame:
-    """``pairs`` of several window levels, with the level's name."""
+    """``pairs`` of several window levels, with the level's name; the matches are made once."""
+    own = stage(matches.filter(F.col("nested_in").isNull()).select(*dict.fromkeys(by.values()), "entity_id", "nested_in"), "own")
     found = None
     for name, column in by.items():
-        one = pairs(window_entities(matches, column), **options).withColumn("window_level", F.lit(name))
+        one = pairs(window_entities(own, column), **options).withColumn("window_level", F.lit(name))
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -85,6 +92,14 @@ def negated_lines(lines: DataFrame, matches: DataFrame, ritual: list[str], negat
     return said.join(own, [*keys])
 
 
+def negated(matched: DataFrame, ritual: list[str], negations: list[str], keys: tuple[str, ...] = ("line_uid",), tokens_col: str = "tokens") -> DataFrame:
+    """As ``negated_lines``, for lines that carry their matches (``matching.matched``): one scan, nothing is joined or shuffled."""
+    said = F.array_sort(F.array_distinct(F.filter(tokens_col, lambda t: t.isin(*negations))))
+    own = F.filter("matches", lambda m: m["nested_in"].isNull() & m["entity_id"].isin(*ritual))
+    found = matched.select(*keys, F.array_sort(F.array_distinct(F.transform(own, lambda m: m["entity_id"]))).alias("ritual_entities"), said.alias("negation_tokens"))
+    return found.filter((F.size("ritual_entities") > 0) & (F.size("negation_tokens") > 0))
+
+
 def focal(matches: DataFrame, entity: str, key: str = "line_uid", top: int = 20) -> DataFrame:
     """The ``top`` entities that share most lines with ``entity`` (names break ties)."""
     sets = window_entities(matches, key)
