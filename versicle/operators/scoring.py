@@ -195,9 +195,9 @@ def distribution(tags: DataFrame, label: str = "primary_tag") -> DataFrame:
     return counts.join(F.broadcast(total)).select("label", "count", percent(F.col("count"), F.col("total")).alias("pct"))
 
 
-def detailed_distribution(tags: DataFrame, label: str = "primary_tag", size: int = 100) -> DataFrame:
-    """level, grp, label, count and percent within the group: overall, by author, section and page range."""
-    base = tags.select(F.coalesce(label, F.lit("unclassified")).alias("label"), F.coalesce("author", F.lit("unknown")).alias("author"), F.coalesce("section", F.lit("unknown")).alias("section"), bucket(F.col("page"), size).alias("pages"))
+def detailed_distribution(tags: DataFrame, label: str = "primary_tag", size: int = 100, unknown: str | None = "unknown") -> DataFrame:
+    """level, grp, label, count and percent within the group: overall, by author, section and page range; ``unknown`` names the group without an author or section ("all" if it is None)."""
+    base = tags.select(F.coalesce(label, F.lit("unclassified")).alias("label"), F.coalesce("author", F.lit(unknown)).alias("author"), F.coalesce("section", F.lit(unknown)).alias("section"), bucket(F.col("page"), size).alias("pages"))
     sets = base.groupingSets([["label"], ["label", "author"], ["label", "section"], ["label", "pages"]], "label", "author", "section", "pages").agg(F.count("*").alias("count"), F.grouping("author").alias("ga"), F.grouping("section").alias("gs"), F.grouping("pages").alias("gp"))
     level = F.when(F.col("ga") == 0, "author").when(F.col("gs") == 0, "section").when(F.col("gp") == 0, "pages").otherwise("overall")
     found = sets.select(level.alias("level"), F.coalesce("author", "section", "pages", F.lit("all")).alias("grp"), "label", "count")

@@ -23,7 +23,7 @@ ENTITIES = (
     ("QUE", "identity", None, "neutral", ("que",)), ("UND", "marker", "yogic", "perso_arabic", ("und",)), ("NEG_LE", "temporal", "islamic", None, ("le", "les")), ("IS", "divine_name", "universal", "sanskritic", ("is",)),
 )
 SECTIONS = (("S1", 1, 30), ("S2", 31, 60), ("S3", 61, 95), ("REST", 96, 20000), ("NONE", 20001, 20010))
-#: As the queries take them (the SQL has SECTIONS): REST without an end, and the empty section where no page can be.
+#: As reports take them unless told otherwise: REST without an end, and the empty section where no page can be. The catalogue's queries follow the SQL, which has SECTIONS.
 PLACED = tuple((i, *{"REST": (a, None), "NONE": (0, 0)}.get(i, (a, b))) for i, a, b in SECTIONS)
 NEGATIONS = ("not", "no", "ne", "nicht", "un", "pas", "le")
 SCORING = Scoring(
@@ -54,8 +54,8 @@ def bridge(spark: SparkSession) -> DataFrame:
     return dimensions_of(entities(spark))
 
 
-def sections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, i.title(), a, b, n) for n, (i, a, b) in enumerate(PLACED)], SECTION)
+def sections(spark: SparkSession, of: tuple = PLACED) -> DataFrame:
+    return spark.createDataFrame([(i, i.title(), a, b, n) for n, (i, a, b) in enumerate(of)], SECTION)
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
