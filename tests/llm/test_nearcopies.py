@@ -78,6 +78,39 @@ def test_pairs_in_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def crowd(n, seed=8):
+    """Texts in pairs just over 0.8, all just below it to each other."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    base, rows = words(260), []
+    for i in range(0, n, 2):
+        both = base + words(4)
+        rows += [(i, " ".join(both + words(32))), (i + 1, " ".join(both + words(32)))]
+    return rows
+
+
+def test_rows_of_a_crowd(spark, monkeypatch):
+    """A crowd of n texts that do not link makes rows in proportion to n: 16 lists and a rest, not its n * n pairs."""
+    n, seen, found = 240, [], nearcopies._met
+
+    def counted(*args):
+        met = found(*args)
+        seen.append(met.filter("a is not null").count())
+        return met
+
+    monkeypatch.setattr(nearcopies, "_met", counted)
+    got = near_copies(spark.createDataFrame(crowd(n), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(n)}
+    assert 0 < sum(seen) < 20 * n < n * (n - 1) // 4
+
+
+def test_blocks_of_a_crowd(spark, monkeypatch):
+    """Pairs are found whether their ends are in one block or in two; nothing else links."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 16, raising=False)
+    got = near_copies(spark.createDataFrame(crowd(120), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(120)}
+
+
 def test_links_of_a_large_group(spark, monkeypatch):
     """A group of n near copies hands on fewer than n links, not all that its pairs have."""
     rng, seen, found = random.Random(9), [], nearcopies.connected_components
