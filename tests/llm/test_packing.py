@@ -75,6 +75,25 @@ def test_balance_spreads_cost():
     assert capacities(0, 8).tolist() == [] and capacities(21, 8).tolist() == [8, 8, 4, 1]
 
 
+def test_memory_outside_the_heap(spark, small, monkeypatch):
+    """Texts go to Python in small batches, and tokens are cut into blocks without it; the session stays as it was."""
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.stage
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "stage", lambda *args: (seen.append(int(spark.conf.get(key))), write(*args))[1])
+    packed = pack(small, PATH)
+    assert seen == [2048] and spark.conf.get(key) == before
+    assert "MapInArrow" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cut_at_blocks(spark):
+    """A document that lies in several blocks is cut at their ends, one that only touches an end is not."""
+    rows = [(1, bytes(range(14)), 7, 2, 3), (2, bytes(range(20, 24)), 2, 2, 10), (None, b"", 0, 2, 12), (4, bytes(range(8)), 4, 2, 12)]
+    got = packing.cut(spark.createDataFrame(rows, "doc_id long, ids binary, n_ids long, width int, at long"), 4).collect()
+    assert sorted((r.block, r.at, r.doc_id, r.start, bytes(r.ids), r.doc_tokens) for r in got) == [
+        (0, 3, 1, 0, bytes([0, 1]), 7), (1, 4, 1, 1, bytes(range(2, 10)), 7), (2, 8, 1, 5, bytes(range(10, 14)), 7), (2, 10, 2, 0, bytes(range(20, 24)), 2), (3, 12, 4, 0, bytes(range(8)), 4),
+    ]
+
+
 def test_query_digest(spark):
     rows = op1_pack(spark, "/root/testdata/sf0.001").collect()
     tokenizer = Tokenizer.from_file(PATH)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import id_text, raw_bytes, stage, tidy
+from ._util import arrow_rows, id_text, raw_bytes, stage, tidy
 
 #: Sequences packed together; a block is this many sequences, whatever the size of the corpus.
 BLOCK_SEQUENCES = 64
@@ -27,6 +27,8 @@ WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 CALL = 8192
 #: Bytes of text whose parts are told apart together.
 GROUP = 2 << 20
+#: Texts that Spark sends to a task at once. Its usual 10,000 are 20 to 64 MB outside the heap for each task, which its allocator keeps.
+ROWS = 2048
 
 
 def parted(tokenizer) -> bool:
@@ -190,7 +192,16 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), ids, pa.array(sizes), pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(np.full(n, width, np.int32))], ["doc_id", "ids", "n_ids", "part", "part_start", "width"])
                 row += n
 
-    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, 2048), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, ROWS), "doc_id long, ids binary, n_ids long, part int, part_start long, width int")
+
+
+def cut(placed: DataFrame, size: int) -> DataFrame:
+    """(block, at, doc_id, start, ids, doc_tokens, width): ``placed`` (doc_id, ids, n_ids, width, at) cut where a block of ``size`` ids ends."""
+    piece = f"""inline(transform(sequence(at div {size}, (at + n_ids - 1) div {size}), b -> struct(
+        b as block, greatest(at, b * {size}) as at, greatest(b * {size} - at, 0L) as start,
+        substring(ids, cast(greatest(b * {size} - at, 0L) * width as int) + 1, cast((least(n_ids, (b + 1) * {size} - at) - greatest(b * {size} - at, 0L)) * width as int)) as ids)))"""
+    pieces = placed.filter("n_ids > 0").selectExpr("doc_id", "n_ids as doc_tokens", "width", piece)
+    return pieces.select("block", "at", "doc_id", "start", "ids", "doc_tokens", "width")
 
 
 def balance(lengths: np.ndarray, capacities: np.ndarray, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -234,7 +245,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int |
     whose lengths are powers of two. Null and empty texts hold the end id alone (with no end id,
     they have no piece); repeated rows are documents of their own; null ids stay null.
     """
-    table = stage(token_table(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
+    with arrow_rows(docs.sparkSession, ROWS):
+        table = stage(token_table(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
     totals = table.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("n")).orderBy("part").collect()  # one row per task
     offsets, before = [], 0
     for row in totals:
@@ -244,25 +256,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int |
     placed = table.join(F.broadcast(offsets), "part").select("doc_id", "ids", "n_ids", "width", (F.col("before") + F.col("part_start")).alias("at"))
     size = length * BLOCK_SEQUENCES
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc, ids, n, width, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for block in range(at // size, (at + n - 1) // size + 1 if n else 0):
-                    a, b = max(at, block * size) - at, min(at + n, (block + 1) * size) - at
-                    rows.append((block, at + a, doc, a, ids[a * width : b * width], n, width))
-                    held += (b - a) * width
-                    if held > 16 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "at", "doc_id", "start", "ids", "doc_tokens", "width"])
-
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
         ids, width = table["ids"].to_pylist(), table["width"][0].as_py()
@@ -274,8 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int |
         take = table.take(pa.array(d))
         return pa.table({"doc_id": take["doc_id"], "start": pa.array(take["start"].to_numpy() + a), "length": pa.array(n), "ids": pa.array(wide, pa.binary()), "doc_tokens": take["doc_tokens"], "sequence_id": pa.array(first + k), "offset": pa.array(offset), "sequence_length": pa.array(room[k])})
 
-    pieces = placed.mapInArrow(tidy(cut), "block long, at long, doc_id long, start long, ids binary, doc_tokens long, width int")
-    return pieces.groupBy("block").applyInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long")
+    return cut(placed, size).groupBy("block").applyInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long")
 
 
 def op1_pack(spark, sf_dir: str) -> DataFrame:
