@@ -216,8 +216,9 @@ def balance(lengths: np.ndarray, capacities: np.ndarray, linear: float, quadrati
     for d in np.argsort(-lengths, kind="stable"):
         start, left = 0, int(lengths[d])
         while left:
-            fits = room >= left
-            k = int(np.argmin(np.where(fits, cost, np.inf))) if fits.any() else int(np.argmax(room))
+            k = int(np.where(room >= left, cost, np.inf).argmin())
+            if room[k] < left:  # it fits nowhere
+                k = int(room.argmax())
             n = min(left, int(room[k]))
             pieces.append((int(d), start, n, k, int(capacities[k] - room[k])))
             room[k] -= n
