@@ -1,3 +1,5 @@
+import cProfile
+import pstats
 import random
 import zlib
 
@@ -67,6 +69,34 @@ def test_long_texts_and_other_tokenizers(monkeypatch):
     assert encoded(PieceCache(other, "<u2"), texts) == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_letters_that_the_normaliser_parts():
+    """NFC turns some letters into a letter and a mark; a sign after them is of the mark's pre-token."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["\u0958, \u095b.", "x\ufb2a! \u0f43;", "\u00e9, \u0130. \u212b? \u0374, \u0374a", "\u00c9\u0391\u03a3 \u03a3. \u4e2d, \ud55c; \U00010400, \U0001f600."]
+    assert encoded(PieceCache(tokenizer, "<u2"), texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_no_call_for_each_part():
+    """Parts are split, looked up and encoded by arrays; the work in Python does not grow with their number."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioustnr\u00e9") for _ in range(9)) for _ in range(20_000)]
+    cache, profile = PieceCache(Tokenizer.from_file(PATH), "<u2"), cProfile.Profile()
+    profile.runcall(encoded, cache, [", ".join(words)])
+    assert pstats.Stats(profile).total_calls < 3000
+
+
+def test_a_process_keeps_what_it_met(monkeypatch):
+    """A later task finds the parts of the earlier ones; of too many, those met most often stay."""
+    assert packing.piece_cache(PATH, 2) is packing.piece_cache(PATH, 2)
+    monkeypatch.setattr(packing, "HOT", 2)
+    cache, added = PieceCache(Tokenizer.from_file(PATH), "<u2", most=8), []
+    monkeypatch.setattr(cache, "_add", lambda parts, add=cache._add: (added.extend(parts.to_pylist()), add(parts)))
+    encoded(cache, ["often often often again again " + " ".join(map("x{}".format, range(7)))])
+    assert len(cache.parts) == 4 and len(added) == 9
+    encoded(cache, ["often, again often", "y" * 65])
+    assert added[9:] == [b",", b"y" * 65] and cache.parts.to_pylist()[:2] == [b"often", b"again"] and len(cache.parts) == 5
+
+
 def test_balance_spreads_cost():
     lengths = np.array([1000, 900, 800, 700, 600, 50, 40, 6])
     room = capacities(int(lengths.sum()), 2048)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +21,21 @@ from ._util import arrow_rows, id_text, raw_bytes, stage, tidy
 BLOCK_SEQUENCES = 64
 
 
-#: Signs that, after a letter or digit, are a pre-token of their own to the next blank.
+#: Signs that after a letter or digit begin a pre-token; none of them joins with a mark after it.
 TAIL = b".,;:!?%$#&*"
+#: Kinds of bytes: white space, letters and digits, signs of TAIL, parts of longer characters, any other (fixed values).
+BLANK, WORD, SIGN, LONG, OTHER = range(5)
+KINDS = bytes(BLANK if x in b" \t\n\r" else WORD if bytes([x]).isalnum() else SIGN if x in TAIL else LONG if x > 127 else OTHER for x in range(256))
 #: Pre-tokens of vocabularies with word ends (a fixed value): none spans white space, and white space is dropped.
 WORD_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Unknown parts that are encoded in one call.
 CALL = 8192
 #: Bytes of text whose parts are told apart together.
-GROUP = 2 << 20
+GROUP = 4 << 20
+#: Known parts that are looked up first; their table is small enough for a processor's own cache.
+HOT = 1 << 15
+#: Bytes of the longest part that is kept.
+KEPT = 64
 #: Texts that Spark sends to a task at once. Its usual 10,000 are 20 to 64 MB outside the heap for each task, which its allocator keeps.
 ROWS = 2048
 
@@ -40,28 +49,31 @@ def parted(tokenizer) -> bool:
     return bool("Lowercase" in kinds and removed and first["pattern"].get("Regex") == WORD_PARTS and getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>")
 
 
-class PieceCache(dict):
-    """A text's part between blanks -> its token ids as bytes.
+class PieceCache:
+    """Token ids of texts, with those of the parts met before looked up.
 
-    For tokenizers that are ``parted``: a text's ids are those of its parts in order, and those of a
-    word with signs after it are the word's and the signs'. The parts of a group of texts are told
-    apart by Arrow, so that each distinct one is looked up once; unknown ones are encoded in one
-    call. Any other tokenizer encodes whole texts. At ``most`` entries only those met again since
-    the last time stay; parts of over 64 bytes are not kept.
+    For tokenizers that are ``parted``: a text's ids are those of its parts in order. Parts end at
+    white space, and between a letter or digit and a sign of TAIL. Those of a group of texts are
+    looked up by two calls of Arrow; unknown ones are encoded in few calls. Parts and ids lie in
+    arrays, with no Python object for each. Beyond ``most`` parts the half of that met most often
+    stays; parts of over KEPT bytes are not kept. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 150_000):
-        super().__init__()
+    def __init__(self, tokenizer, kind: str, most: int = 600_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.kind, self.width, self.most, self.parted = tokenizer, kind, int(kind[2]), most, parted(tokenizer)
-        self.again: set[bytes] = set()
         self.letters = Tokenizer(tokenizer.model)
         self.letters.pre_tokenizer = WhitespaceSplit()
         vocabulary = tokenizer.get_vocab(True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.spelling = spelling(tokenizer) if self.parted else {}
+        self.spelt = r"\A[" + "".join(map(chr, self.spelling)) + r"]+\z"
+        self.parts, self.pool = pa.array([], pa.binary()), np.empty(0, kind)
+        self.sizes, self.met = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.before_sign = np.full(1 << 16, -1, np.int8)  # whether a sign after this character begins a pre-token; -1: not known yet
 
     def ids(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) of the texts, group by group, in order; a text over GROUP bytes is a group of its own."""
@@ -84,74 +96,125 @@ class PieceCache(dict):
             i = j
 
     def _group(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [x if b"<|" in x else x.lower() for x in texts]  # special tokens are not lower-cased
-        parts = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.binary()), b"\n", b" "), b" ")
-        told = parts.flatten().dictionary_encode()
-        _, edges, data = told.dictionary.buffers()
-        edges, data = np.frombuffer(edges, np.int32)[: len(told.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
-        values = self._values(list(map(data.__getitem__, map(slice, edges, edges[1:]))))
-        sizes = np.fromiter(map(len, values), np.int32, len(values)) // np.int32(self.width)
-        pool, starts = np.frombuffer(b"".join(values), self.kind), np.cumsum(sizes, dtype=np.int32) - sizes
-        del values
-        which = told.indices.to_numpy()
-        own = sizes[which]
-        ends = np.cumsum(own, dtype=np.int32)  # a text has fewer ids than bytes, and those are below 2**31
-        at = np.repeat(starts[which] - ends + own, own)
-        at += np.arange(len(at), dtype=np.int32)
-        return pool[at], np.diff(np.concatenate([np.zeros(1, np.int32), ends])[parts.offsets.to_numpy()]).astype(np.int64)
-
-    def _values(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each part; a word and the signs after it are looked up by themselves."""
-        stems, tails = parts.copy(), {}
-        for i, x in enumerate(parts):
-            stem = x.rstrip(TAIL)
-            if len(stem) < len(x) and ends_word(stem):
-                stems[i], tails[i] = stem, x[len(stem) :]
-        want = {*stems, *tails.values()}
-        known = want & self.keys()
-        self.again |= known
-        if len(self) + len(want) - len(known) > self.most:
-            kept = {x: self[x] for x in self.again} if len(self.again) < self.most // 2 else {}
-            self.clear()
-            self.update(kept)
-            known, self.again = want & self.keys(), set()
-        unknown = list(want - known)
-        for i in range(0, len(unknown), CALL):
-            self.update(zip(unknown[i : i + CALL], self._encode([x.decode() for x in unknown[i : i + CALL]]), strict=True))
-        found = list(map(self.__getitem__, stems))
-        for i, tail in tails.items():
-            found[i] += self[tail]
-        for x in unknown:
-            if len(x) > 64:
-                del self[x]
-        return found
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Words of letters alone go as one text, those of ASCII past the normaliser, which has nothing to do there."""
-        found: dict[str, bytes] = {}
-        words = [x for x in texts if x.isalpha()]
-        ascii_ = [x for x in words if x.isascii() and x.islower()]
-        for tokenizer, own in ((self.letters, ascii_), (self.tokenizer, list({*words} - {*ascii_}))):
-            found.update(zip(own, self._joined(tokenizer, own), strict=True))
-        rest = [x for x in texts if x not in found]
-        found.update(zip(rest, self._each(rest), strict=True))
-        return [found[x] for x in texts]
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, tokenizer, words: list[str]) -> list[bytes]:
-        """Ids of each word, encoded as one text and parted again at the ids that end a word."""
-        raw = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        edges = [0, *((np.flatnonzero(self.ends[raw]) + 1) * self.width).tolist()] if len(raw) else [0]
-        if len(edges) - 1 != len(words):  # some letter became two pre-tokens
-            return self._each(words)
-        return list(map(raw.tobytes().__getitem__, map(slice, edges, edges[1:])))
-
-
-def ends_word(text: bytes) -> bool:
-    """Whether the last character is a letter or digit."""
-    return bool(text) and (text[-1:].isalnum() or text[-1] > 127 and text.decode()[-1].lower().isalnum())
+        parts, edges = self._split(texts)
+        which = pc.fill_null(pc.index_in(parts, value_set=self.parts.slice(0, HOT)), -1).to_numpy().copy()
+        rest = np.flatnonzero(which < 0)
+        if len(rest):
+            told = parts.take(pa.array(rest)).dictionary_encode()
+            which[rest] = self._places(told.dictionary)[told.indices.to_numpy()]
+        own = self.sizes[which]
+        found = self.pool[spans((np.cumsum(self.sizes, dtype=np.int32) - self.sizes)[which], own)]
+        self.met += np.bincount(which, minlength=len(self.met))
+        self._forget()
+        return found, np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(own, dtype=np.int64)])[edges])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where each of some distinct parts, none of the first HOT, lies in ``self.parts``; unknown ones are added."""
+        places = np.full(len(parts), -1, np.int32)
+        found = pc.fill_null(pc.index_in(self.parts.slice(HOT), value_set=parts), -1).to_numpy()  # few parts make the table, not all known ones
+        known = np.flatnonzero(found >= 0)
+        places[found[known]] = known + HOT
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            places[unknown] = np.arange(len(self.parts), len(self.parts) + len(unknown), dtype=np.int32)
+            self._add(parts.take(pa.array(unknown)))
+        return places
+
+    def _split(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """(parts of all texts, where each text's parts begin, and their number at the end)."""
+        joined = b" ".join([*(x if b"<|" in x else x.lower() for x in texts), b""])  # special tokens are not lower-cased
+        kind, data = np.frombuffer(joined.translate(KINDS), np.uint8), np.frombuffer(joined, np.uint8)
+        inside, signs = kind != BLANK, kind[1:] == SIGN
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[1:] |= signs & (kind[:-1] == WORD)
+        at = np.flatnonzero(signs & (kind[:-1] == LONG)) + 1
+        first[at[self._begin(data, at)]] = True
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        edges = np.searchsorted(np.flatnonzero(first), begins)
+        data = data[inside]
+        offsets = np.append(np.flatnonzero(first[inside]), len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]), edges
+
+    def _begin(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the signs at ``at``, each after a character of two bytes or more, begin a pre-token; of four bytes: no, such parts are encoded whole."""
+        c, b, a = (data[at - i].astype(np.int32) for i in (1, 2, 3))  # after two bytes at the start, a is any byte and not used
+        code = np.where(b >= 0xC0, (b & 0x1F) << 6 | c & 0x3F, np.where(a >= 0xE0, (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F, 0))
+        for x in np.unique(code[self.before_sign[code] < 0]).tolist():
+            text = self.tokenizer.normalizer.normalize_str(chr(x) + TAIL[:1].decode())
+            self.before_sign[x] = x > 0 and self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][0] == text[-1]
+        return self.before_sign[code] == 1
+
+    def _add(self, parts: pa.Array) -> None:
+        """Encode and append new parts. Words of letters alone go as one text, those of ``spelling`` past the normaliser."""
+        text = parts.cast(pa.string())
+        way = np.where(pc.and_(pc.ascii_is_alpha(text), pc.ascii_is_lower(text)).to_numpy(zero_copy_only=False), 0, 3)
+        rest = np.flatnonzero(way)
+        way[rest[pc.match_substring_regex(text.take(pa.array(rest)), self.spelt).to_numpy(zero_copy_only=False)]] = 1
+        rest = np.flatnonzero(way == 3)
+        way[rest[np.fromiter((x.isalpha() for x in text.take(pa.array(rest)).to_pylist()), bool, len(rest))]] = 2
+        ids, sizes, order = [], [], np.argsort(way, kind="stable")
+        for i, encode in enumerate((partial(self._joined, self.letters), partial(self._joined, self.letters, self.spelling), partial(self._joined, self.tokenizer), self._each)):
+            own = order[way[order] == i]
+            for j in range(0, len(own), CALL):
+                found = encode(text.take(pa.array(own[j : j + CALL])))
+                ids.append(found[0])
+                sizes.append(found[1])
+        ids, sizes, back = np.concatenate(ids), np.concatenate(sizes), np.argsort(order)
+        ids = ids[spans((np.cumsum(sizes, dtype=np.int32) - sizes)[back], sizes[back])]
+        self.parts, self.pool, self.sizes = pa.concat_arrays([self.parts, parts]), np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes[back]])
+        self.met = np.concatenate([self.met, np.zeros(len(parts), np.int64)])
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(pc.binary_length(self.parts).to_numpy() <= KEPT)
+        if len(kept) > self.most:
+            kept = kept[np.argsort(-self.met[kept], kind="stable")[: self.most // 2]]  # so the first HOT are those met most often
+            self.met //= 2
+        if len(kept) < len(self.parts):
+            self.pool = self.pool[spans((np.cumsum(self.sizes, dtype=np.int32) - self.sizes)[kept], self.sizes[kept])]
+            self.parts, self.sizes, self.met = self.parts.take(pa.array(kept)), self.sizes[kept], self.met[kept]
+
+    def _each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), self.kind), np.fromiter(map(len, found), np.int32, len(found))
+
+    def _joined(self, tokenizer, *words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, encoded as one text and parted again at the ids that end a word; with a spelling, as it says."""
+        *table, words = words
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        raw = np.array(tokenizer.encode_batch_fast([text.translate(*table) if table else text], add_special_tokens=False)[0].ids, self.kind)
+        sizes = np.diff(np.flatnonzero(self.ends[raw]), prepend=-1).astype(np.int32)
+        return (raw, sizes) if len(sizes) == len(words) else self._each(words)  # else some letter became two pre-tokens
+
+
+def spelling(tokenizer) -> dict[int, str]:
+    """Letters of up to two bytes -> how the tokenizer's model spells them, for those that stay one letter.
+
+    Those letters (below U+0530) join with marks alone, so a word of them is spelt letter by letter.
+    """
+    found = {}
+    for x in filter(str.isalpha, map(chr, range(0x530))):
+        text = tokenizer.normalizer.normalize_str(x)
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        if text.isalpha() and len(pieces) == len(text) == 1:
+            found[ord(x)] = pieces[0][0]
+    return found
+
+
+@lru_cache(maxsize=1)
+def piece_cache(tokenizer_path: str, end_id: int | None) -> PieceCache:
+    """The cache of a process: Spark's Python workers serve many tasks, and a later one finds what the earlier have met."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    return PieceCache(tokenizer, "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4")
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ... and so on; their number must be below 2**31."""
+    at = np.repeat(starts - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
 
 
 def blank_pieces(text: bytes, size: int) -> Iterator[bytes]:
@@ -173,10 +236,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        cache = PieceCache(tokenizer, "<u2" if max(tokenizer.get_vocab_size(True), end_id or 0) < 65536 else "<u4")
+        cache = piece_cache(tokenizer_path, end_id)
         width, end = cache.width, None if end_id is None else np.array(end_id, cache.kind)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
